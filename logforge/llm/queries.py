@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii, sentencepiece_bpe
 from .jaccard_join import jaccard_join
+from .mixing import mix
+from .toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(_documents(spark, sf_dir)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_pii": op3_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_source_mixing": op8_source_mixing,
 }
 
 ORACLE_SQL = {
@@ -39,4 +63,26 @@ m AS (
   FROM l JOIN t ON t.doc_id = l.y GROUP BY 1)
 SELECT d.doc_id, c.class_id, t.copy_id, coalesce(m.n_links, 0)::BIGINT AS n_links, coalesce(m.n_text_links, 0)::BIGINT AS n_text_links
 FROM documents d JOIN c USING (doc_id) JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op8_source_mixing": r"""
+WITH z AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+      / coalesce(1.5 - length(regexp_replace(text, '[\p{L}\x20\n]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 0.5) AS key,
+    md5(coalesce(text, '')) AS tie FROM documents),
+a AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY 1),
+b AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS most FROM a),
+c AS (
+  SELECT *, most / w AS ratio, sum(source_size) OVER ()::BIGINT * 1.5::DOUBLE AS total, sum(w) OVER () AS all_w,
+    sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS cm,
+    sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS cw FROM b),
+d AS (SELECT *, cm + ratio * (all_w - cw) <= total AS whole FROM c),
+e AS (SELECT *, coalesce(sum(most) FILTER (whole) OVER (), 0.0) AS used, coalesce(sum(w) FILTER (whole) OVER (), 0.0) AS gone FROM d),
+f AS (SELECT source, source_size, CASE WHEN whole THEN most ELSE (total - used) / nullif(all_w - gone, 0.0) * w END::DOUBLE AS target FROM e),
+g AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM f),
+h AS (
+  SELECT z.doc_id, z.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size AS rest,
+    sum(z.size) OVER (PARTITION BY z.source ORDER BY key, doc_id, tie ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
+i AS (SELECT *, epochs + (upto <= rest OR (upto - size < rest AND upto - rest <= rest - (upto - size)))::BIGINT AS copies FROM h)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM i""",
 }
