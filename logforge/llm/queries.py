@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sentencepiece_bpe
+from . import chroma, divergence, langid, mincut, pii, sentencepiece_bpe, url_lists
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .toxicity import toxicity
@@ -15,6 +15,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(_documents(spark, sf_dir))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -23,6 +31,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_documents(spark, sf_dir)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -31,16 +43,35 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir))
 
 
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return url_lists.judge(url_lists.example_captures(pages), url_lists.example_list(pages))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = chroma.sonify(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return chroma.search(chroma.fingerprint(media)).withColumnRenamed("id", "vec_id")
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(_pages(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_divergence": op1_divergence,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_pii": op3_pii,
+    "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_url_lists": op7_url_lists,
     "op8_source_mixing": op8_source_mixing,
+    "op9_chroma": op9_chroma,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL = {
@@ -85,4 +116,29 @@ h AS (
   FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
 i AS (SELECT *, epochs + (upto <= rest OR (upto - size < rest AND upto - rest <= rest - (upto - size)))::BIGINT AS copies FROM h)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM i""",
+    "op7_url_lists": r"""
+WITH h0 AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+    (DATE '2024-01-01' + ((page_id * 7) % 366)::INT)::DATE AS fetched FROM pages),
+hosts AS (SELECT DISTINCT host FROM h0 WHERE host <> ''),
+r0 AS (
+  SELECT host AS domain, '' AS prefix, 3 AS every FROM hosts
+  UNION ALL SELECT DISTINCT regexp_replace(host, '^[^.]+\.', '') AS domain, '', 5 FROM hosts WHERE host LIKE '%.%.%'
+  UNION ALL SELECT host, '/en/', 4 FROM hosts),
+r AS (SELECT *, ('0x' || substr(md5(domain || prefix), 1, 6))::BIGINT AS k FROM r0),
+ch0 AS (
+  SELECT domain, prefix, TRUE AS listed, k % 200 AS d FROM r WHERE k % every = 1
+  UNION ALL SELECT domain, prefix, FALSE, k % 200 + 30 + k % 90 FROM r WHERE k % every = 1
+  UNION ALL SELECT domain, prefix, TRUE, k % 200 + 150 FROM r WHERE k % every = 1),
+ch1 AS (SELECT domain, prefix, d, min(listed) AS listed FROM ch0 GROUP BY ALL),
+ch2 AS (SELECT *, coalesce(lag(listed) OVER (PARTITION BY domain, prefix ORDER BY d), FALSE) AS was FROM ch1),
+ch3 AS (SELECT *, lead(d) OVER (PARTITION BY domain, prefix ORDER BY d) AS e FROM ch2 WHERE was <> listed),
+iv AS (SELECT domain, prefix, (DATE '2024-01-01' + d::INT)::DATE AS since, (DATE '2024-01-01' + e::INT)::DATE AS until FROM ch3 WHERE listed),
+m AS (
+  SELECT h0.page_id, h0.url, iv.*, row_number() OVER (PARTITION BY h0.page_id ORDER BY length(domain) DESC, length(prefix) DESC, domain, prefix, since) AS n
+  FROM h0 JOIN iv ON (h0.host = iv.domain OR ends_with(h0.host, '.' || iv.domain)) AND starts_with(h0.path, iv.prefix)
+    AND iv.since <= h0.fetched AND (iv.until IS NULL OR h0.fetched < iv.until))
+SELECT h0.page_id, h0.url, h0.host, h0.fetched, m.page_id IS NOT NULL AS blocked, m.domain || m.prefix AS rule, m.since AS listed_since
+FROM h0 LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON m.page_id = h0.page_id""",
 }
