@@ -1,8 +1,62 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline: toxic documents go, near copies go, personal data is masked, sources are mixed, texts become tokens.
 
-STAGES = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns the documents that the next stage reads.  The last returns token ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from logforge.llm import jaccard_join, mixing, pii, sentencepiece_bpe, toxicity
+from logforge.llm.storage import folder, save
+
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labels of the documents still here."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become the name of their kind; every document stays."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents enter as often as the mix of their source takes them."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit integers) and the decoded text's digest."""
+    encoded = sentencepiece_bpe.encode_decode(docs, TOKENIZER)
+    return encoded.selectExpr("doc_id", "n_tokens", "ids", "sha2(encode(decoded, 'UTF-8'), 256) as decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
+
+#: MinHash, the fitted classifier and the tokenizer have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    where = folder(spark)
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), where, name)
+    return STAGES[-1][1](spark, docs, sf_dir)
