@@ -25,7 +25,7 @@ RATE, WINDOW, HOP = 4000, 512, 128
 QUERY_BLOCK = 2048
 WIDTH = 16
 #: Rectangles (first frame, frames, first class, classes) whose sums each filter compares, by rule: thin and wide, early against late and low against high.
-FILTERS = tuple(((k % 4) * 2, 4 + 2 * (k // 8), (5 * k) % 12 // 2, 2 + k % 3, k % 2) for k in range(16))
+FILTERS = tuple(((k % 4) * 2, 4 + 2 * (k // 8), (5 * k) % 12 // 2, 2 + k % 3, k // 2 % 2) for k in range(16))
 #: Steps between the four levels of a filter's log ratio; the code of a level has one changed bit from level to level.
 LEVELS = np.array([-0.35, 0.0, 0.35])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -88,8 +88,11 @@ def codes(frames: np.ndarray) -> np.ndarray:
     box = lambda t, w, c, h: image[:, t + w : t + w + size, c + h] - image[:, t : t + size, c + h] - image[:, t + w : t + w + size, c] + image[:, t : t + size, c]
     out = np.zeros((len(frames), size), np.uint32)
     for t, w, c, h, kind in FILTERS:
-        a, b = (box(t, w, c, h), box(t + w if t + 2 * w <= WIDTH else t - w if t >= w else 0, w, c, h)) if kind else (box(t, w, c, h), box(t, w, c + h, h))
-        level = np.searchsorted(LEVELS, np.log((a + 0.1) / (b + 0.1)))
+        if kind:  # the same classes later, or earlier where no room is left
+            b = box(t + w if t + 2 * w <= WIDTH else t - w, w, c, h)
+        else:  # higher classes at the same time, or lower ones
+            b = box(t, w, c + h if c + 2 * h <= 12 else c - h, h)
+        level = np.searchsorted(LEVELS, np.log((box(t, w, c, h) + 0.1) / (b + 0.1)))
         out = (out << np.uint32(2)) | GRAY[level]
     return out
 

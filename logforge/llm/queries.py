@@ -45,7 +45,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    return url_lists.judge(url_lists.example_captures(pages), url_lists.example_list(pages))
+    judged = url_lists.judge(url_lists.example_captures(pages), url_lists.example_list(pages))
+    return judged.withColumns({c: judged[c].cast("string") for c in ("fetched", "listed_since")})
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +140,6 @@ m AS (
   SELECT h0.page_id, h0.url, iv.*, row_number() OVER (PARTITION BY h0.page_id ORDER BY length(domain) DESC, length(prefix) DESC, domain, prefix, since) AS n
   FROM h0 JOIN iv ON (h0.host = iv.domain OR ends_with(h0.host, '.' || iv.domain)) AND starts_with(h0.path, iv.prefix)
     AND iv.since <= h0.fetched AND (iv.until IS NULL OR h0.fetched < iv.until))
-SELECT h0.page_id, h0.url, h0.host, h0.fetched, m.page_id IS NOT NULL AS blocked, m.domain || m.prefix AS rule, m.since AS listed_since
+SELECT h0.page_id, h0.url, h0.host, h0.fetched::VARCHAR AS fetched, m.page_id IS NOT NULL AS blocked, m.domain || m.prefix AS rule, m.since::VARCHAR AS listed_since
 FROM h0 LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON m.page_id = h0.page_id""",
 }
