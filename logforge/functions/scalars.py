@@ -20,7 +20,7 @@ def iso_instant(millis: Column) -> Column:
 def string_hash(text: Column) -> Column:
     """Sum of UTF-16 units times powers of 31, in 32-bit signed arithmetic."""
     code = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(0), F.length(code) / 4 - 1), lambda i: F.conv(F.substring(code, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("bigint"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(code) / 4).cast("int") - 1), lambda i: F.conv(F.substring(code, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
     folded = F.aggregate(units, F.lit(0).cast("bigint"), lambda h, u: (h * 31 + u) % F.lit(4294967296))
     signed = F.when(folded >= 2147483648, folded - F.lit(4294967296)).otherwise(folded)
     return F.when(F.length(text) == 0, 0).otherwise(signed).cast("int")

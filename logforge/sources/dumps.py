@@ -150,7 +150,7 @@ def assemble(records: DataFrame, files: DataFrame | None = None) -> Segments:
     meta = f.select("file_ord", "segment_type", "deep_iteration")
     b = r.where(~F.col("first")).join(meta, "file_ord")
     header = F.concat(F.lit(LEAD), F.get("lines", F.lit(0)))
-    b = b.select("file_ord", "file_name", "line", "last", "segment_type", "deep_iteration", G.fields(header, G.BATCH_PATTERN).alias("_h"), F.slice("lines", 2, 2147483647).alias("_body"))
+    b = b.select("file_ord", "file_name", "line", "last", "segment_type", "deep_iteration", G.fields(header, G.BATCH_PATTERN).alias("_h"), F.slice("lines", F.lit(2), F.size("lines")).alias("_body"))
     b = b.withColumns(dict(zip([n for _, n, _, _ in G.BATCH], G.typed(F.col("_h"), G.BATCH), strict=True)))
     b = b.withColumn("fits", G.matched(F.col("_h"), G.BATCH_PATTERN)).drop("_h")
     wanted = F.when(F.col("fits") & F.col("deep_iteration"), F.slice("_body", F.lit(1), F.col("count"))).otherwise(F.array().cast("array<string>"))
