@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chroma, divergence, langid, mincut, pii, sentencepiece_bpe, url_lists
 from .jaccard_join import jaccard_join
@@ -20,7 +21,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(_documents(spark, sf_dir))
+    judged = divergence.judge(_documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,41 @@ QUERIES = {
     "op10_main_text": op10_main_text,
 }
 
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in (words + ("",) * 16)[:16]) + "]"
+_LISTS = "CASE lang " + " ".join(f"WHEN '{code}' THEN {_LIST(words)}" for code, words in divergence.COMMON_WORDS.items()) + f" ELSE {_LIST(divergence.MIXED_WORDS)} END"
+_TERM = "(CASE WHEN p > 0 THEN p * log2(p * 2.0 / (p + q)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(q * 2.0 / (p + q)) ELSE 0.0 END) / 2.0"
+
 ORACLE_SQL = {
+    "op1_divergence": rf"""
+WITH a AS (
+  SELECT doc_id, lang, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w FROM documents),
+s AS (
+  SELECT *, regexp_replace(x, '\p{{Ll}}+', '', 'g') AS x1, regexp_replace(x, '[\p{{Ll}}\x20\x09-\x0D]+', '', 'g') AS x2, regexp_replace(x, '[\p{{Ll}}\p{{Lu}}\x20\x09-\x0D]+', '', 'g') AS x3,
+    regexp_replace(x, '[\p{{Ll}}\p{{Lu}}\p{{Nd}}\x20\x09-\x0D]+', '', 'g') AS x4, regexp_replace(x, '[\p{{Ll}}\p{{Lu}}\p{{Nd}}\x20\x09-\x0D.,;:?''"()\-]+', '', 'g') AS x5,
+    {_LISTS} AS words FROM a),
+f AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    [length(x) - length(x1), length(x1) - length(x2), length(x2) - length(x3), length(x3) - length(x4), length(x4) - length(x5), length(x5)] AS classes,
+    list_transform(words, lambda c: len(list_filter(w, lambda y: y = c))) AS common FROM s),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM a)),
+d AS (SELECT doc_id, g FROM v GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM v JOIN d USING (doc_id, g), range(0, 5) r(k) GROUP BY 1),
+h AS (
+  SELECT doc_id, lang, 'c' AS kind, unnest(range(0, 6)) AS k, unnest(classes) AS n FROM f
+  UNION ALL SELECT doc_id, lang, 'w', unnest(range(0, 17)), unnest(list_append(common, n_words - list_sum(common))) FROM f),
+t AS (SELECT doc_id, kind, sum(n) AS total FROM h GROUP BY 1, 2),
+r AS (SELECT lang, kind, k, sum(n) / nullif(sum(sum(n)) OVER (PARTITION BY lang, kind), 0) AS q FROM h GROUP BY 1, 2, 3),
+j AS (
+  SELECT doc_id, kind, sqrt(greatest(sum({_TERM}), 0.0)) AS dist
+  FROM (SELECT h.doc_id, h.kind, h.n / nullif(t.total, 0) AS p, r.q FROM h JOIN t USING (doc_id, kind) JOIN r ON r.kind = h.kind AND r.k = h.k AND r.lang IS NOT DISTINCT FROM h.lang) GROUP BY 1, 2),
+y AS (
+  SELECT f.*, coalesce(c.n, 0) AS n_repeat_words, CASE WHEN list_sum(classes) >= {divergence.MIN_CHARS} THEN jc.dist END AS cd, CASE WHEN n_words >= {divergence.MIN_WORDS} THEN jw.dist END AS wd
+  FROM f LEFT JOIN c USING (doc_id) LEFT JOIN j jc ON jc.doc_id = f.doc_id AND jc.kind = 'c' LEFT JOIN j jw ON jw.doc_id = f.doc_id AND jw.kind = 'w'),
+z AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM y)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed,
+  NOT failed AND coalesce(cd, 0.0) <= {divergence.MAX_CLASS_DISTANCE} AND coalesce(wd, 0.0) <= {divergence.MAX_WORD_DISTANCE} AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM z""",
     "op6_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
