@@ -220,7 +220,7 @@ class Model:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, with begin and end ids, and the number of each text's ids."""
-        if len(self._seen) > 400_000:
+        if len(self._seen) > 100_000:
             self._reset()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
@@ -312,7 +312,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for whole in batches:
-            for batch in textbuf.slices(whole, "text", 2 << 20):
+            for batch in textbuf.slices(whole, "text"):
                 ids, counts = model.encode(textbuf.filled(batch.column("text")).to_pylist())
                 raw, sizes = model.decode(ids, counts)
                 ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

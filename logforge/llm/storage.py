@@ -35,8 +35,15 @@ def save(df: DataFrame, where: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of the operators, where the session has Spark's own size: a few MB of text instead of tens.
+BATCH_ROWS = "arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once for each application."""
+    """Give the executors' Python this package, once for each application, and bound the Arrow batches that it gets."""
+    name, usual, rows = BATCH_ROWS
+    if spark.conf.get(f"spark.sql.execution.{name}") == usual:
+        spark.conf.set(f"spark.sql.execution.{name}", rows)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -39,11 +39,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size == 1 << 21:
+        if size == 1 << 20:
             _powers[name] = have
     return have[:n]
 
@@ -67,7 +67,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Runs of consecutive rows holding about ``max_bytes`` of ``column``."""
     if not batch.num_rows:
         return
