@@ -123,17 +123,19 @@ def report_lines(txns: DataFrame, totals: DataFrame, with_file: bool | Column =
             )
         ).alias("part", "line_out")
     ).select("part", F.lit(0).alias("file_ord"), F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("a"), F.lit(0).alias("b"), "line_out")
-    e = txns.where("status = 'EMPTY'")
+    is_empty = F.col("status") == "EMPTY"
     empty = F.concat(
         F.lit("empty_txn:"), location(F.col("closing_batch.file_name"), F.col("closed_line"), with_file, line_numbers, ":"), F.lit(" EmptyTransaction[closingBatch="),
         batch_text(_of("closing_batch")), F.lit(", controlMessage="), control_text(F.col("marker")), F.lit("]"),
     )
-    o = txns.where("status = 'OPEN'")
     open_ = F.concat(
         F.lit("open_txn:"), location(F.col("first_batch.file_name"), F.col("first_batch.line"), with_file, line_numbers, ":"),
         F.format_string(" ProducerSession[producerId=%d, producerEpoch=%d]", "producer_id", "producer_epoch"), F.lit("->FirstBatchInTxn[firstBatchInTxn="),
         batch_text(_of("first_batch")), F.format_string(", numDataBatches=%d]", "n_data"),
     )
-    rows = head.unionByName(e.select(F.lit(4).alias("part"), F.col("closed_file_ord").alias("file_ord"), F.col("closed_line").alias("line"), F.lit(0).cast("bigint").alias("a"), F.lit(0).alias("b"), empty.alias("line_out")))
-    rows = rows.unionByName(o.select(F.lit(5).alias("part"), F.lit(0).alias("file_ord"), F.lit(0).alias("line"), F.col("producer_id").alias("a"), F.col("producer_epoch").cast("int").alias("b"), open_.alias("line_out")))
-    return rows.orderBy("part", "file_ord", "line", "a", "b").select("part", "file_ord", "line", "line_out")
+    pick = lambda a, b: F.when(is_empty, a).otherwise(b)
+    tail = txns.where("status in ('EMPTY', 'OPEN')").select(
+        pick(F.lit(4), F.lit(5)).alias("part"), pick(F.col("closed_file_ord"), F.lit(0)).alias("file_ord"), pick(F.col("closed_line"), F.lit(0)).alias("line"),
+        pick(F.lit(0).cast("bigint"), F.col("producer_id")).alias("a"), pick(F.lit(0), F.col("producer_epoch").cast("int")).alias("b"), pick(empty, open_).alias("line_out"),
+    )
+    return head.unionByName(tail).orderBy("part", "file_ord", "line", "a", "b").select("part", "file_ord", "line", "line_out")

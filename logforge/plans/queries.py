@@ -245,8 +245,8 @@ WHERE previous IS NOT NULL AND NOT ({_LEGAL})""",
     "validity_violations_data": f"WITH {_BAD_DATA} " + _row(6, "valid", "file_name || ':' || line || ': Batch is not valid'", "NOT is_valid"),
     "validity_violations_state": f"WITH {_BAD_STATE} " + _row(8, "transactional", "file_name || ':' || line || ': Batch was transactional'", "is_transactional"),
     "record_violations": f"WITH {_BAD_DATA} " + _row(4, "record", "'Expected 1 data records in batch, but this doesn''t look like a data record'", "NOT is_control AND event_id % 101 = 0", "line + 1"),
-    "lint_position": f"""WITH {_b()}, q AS (SELECT file_ord, file_name, line, position % 1000 AS at FROM b), p AS (SELECT *, lag(at) OVER (PARTITION BY file_ord ORDER BY line) AS previous FROM q)
-SELECT file_ord, file_name, line, 20::INT AS check_order, 'position' AS "check", file_name || ':' || line || ': Batch position ' || at || ' is not above the previous batch position ' || previous AS message FROM p WHERE previous >= at""",
+    "lint_position": f"""WITH {_b()}, q AS (SELECT file_ord, file_name, line, position % 1000 AS here FROM b), p AS (SELECT *, lag(here) OVER (PARTITION BY file_ord ORDER BY line) AS previous FROM q)
+SELECT file_ord, file_name, line, 20::INT AS check_order, 'position' AS "check", file_name || ':' || line || ': Batch position ' || here || ' is not above the previous batch position ' || previous AS message FROM p WHERE previous >= here""",
     "lint_leader_epoch": f"""WITH {_b()}, p AS (SELECT *, lag(producer_epoch) OVER (PARTITION BY file_ord ORDER BY line) AS previous FROM b)
 SELECT file_ord, file_name, line, 21::INT AS check_order, 'leader_epoch' AS "check", file_name || ':' || line || ': Batch leader epoch ' || producer_epoch || ' is below the previous batch leader epoch ' || previous AS message FROM p WHERE previous > producer_epoch""",
     "txn_coord_partition": _coordinator_sql("customer", "c_name"),

@@ -70,19 +70,35 @@ def pieces(spark: SparkSession, texts: Iterable[tuple[str, str]], separator: str
     return df.select("file_ord", "file_name", F.lit(0).cast("bigint").alias("split"), parts.alias("place", "value")).withColumn("place", F.col("place").cast("bigint"))
 
 
-def numbered(records: DataFrame) -> DataFrame:
-    """Records with ``lines`` (array), ``line`` (number of the first one), ``first`` and ``last`` in their file."""
+def split_totals(records: DataFrame) -> DataFrame:
+    """One row for each split of each file, from one narrow aggregation over the text.
+
+    base: lines before the split; head, tail: whether it is the file's first or last;
+    lead: the file's first piece (in its first split); file_lines, file_records and deep: of the whole file.
+    """
+    lines = F.size(F.split("value", "\n")).cast("bigint")
+    t = records.groupBy("file_ord", "file_name", "split").agg(
+        F.sum(lines).alias("all"), F.count(F.lit(1)).alias("k"), F.bool_or(F.contains("value", F.lit("\n| "))).alias("body"), F.min_by("value", "place").alias("lead"), F.max_by(F.endswith("value", F.lit("\n")), "place").alias("blank")
+    )
+    by_file = W.partitionBy("file_ord")
+    last = F.max(F.struct("split", "blank")).over(by_file)
+    return t.select(
+        "file_ord", "file_name", "split", F.coalesce(F.sum("all").over(by_file.orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        (F.col("split") == F.min("split").over(by_file)).alias("head"), (F.col("split") == last["split"]).alias("tail"), "lead",
+        (F.sum("all").over(by_file) - last["blank"].cast("int")).alias("file_lines"), F.sum("k").over(by_file).alias("file_records"), F.bool_or("body").over(by_file).alias("deep"),
+    )
+
+
+def numbered(records: DataFrame, totals: DataFrame) -> DataFrame:
+    """Records with ``lines`` (array), ``line`` (number of the first one), ``first`` and ``last`` in their file, and the columns of ``totals`` besides."""
     inside = W.partitionBy("file_ord", "split").orderBy("place")
     r = records.withColumn("n", F.size(F.split("value", "\n")).cast("bigint"))
     r = r.withColumns({"before": F.coalesce(F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "rank": F.row_number().over(inside), "next": F.lead("place").over(inside)})
-    by_file = W.partitionBy("file_ord")
-    totals = records.groupBy("file_ord", "split").agg(F.sum(F.size(F.split("value", "\n"))).alias("all"))
-    upto = by_file.orderBy("split").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("file_ord", "split", F.coalesce(F.sum("all").over(upto), F.lit(0)).alias("base"), (F.col("split") == F.max("split").over(by_file)).alias("tail"), (F.col("split") == F.min("split").over(by_file)).alias("head"))
-    r = r.join(totals, ["file_ord", "split"])
+    r = r.join(totals.drop("file_name", "lead", "file_lines", "file_records"), ["file_ord", "split"])
     last = F.col("tail") & F.col("next").isNull()
     value = F.when(last, F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
-    return r.select("file_ord", "file_name", (F.col("base") + F.col("before") + 1).cast("int").alias("line"), (F.col("head") & (F.col("rank") == 1)).alias("first"), last.alias("last"), F.split(value, "\n").alias("lines"))
+    more = [c for c in totals.columns if c not in ("file_ord", "file_name", "split", "base", "head", "tail", "lead", "file_lines", "file_records")]
+    return r.select("file_ord", "file_name", (F.col("base") + F.col("before") + 1).cast("int").alias("line"), (F.col("head") & (F.col("rank") == 1)).alias("first"), last.alias("last"), F.split(value, "\n").alias("lines"), *more)
 
 
 def segment_type(path: Column) -> Column:
@@ -131,24 +147,23 @@ def assemble(records: DataFrame, files: DataFrame | None = None) -> Segments:
 
     ``files`` (file_ord, file_name) adds files that have no line at all.
     """
-    r = numbered(records)
-    head = r.where("first")
-    lead = F.get("lines", F.lit(0))
-    path = F.when(lead.rlike(r"\ADumping (.*)\z"), F.regexp_extract(lead, r"\ADumping (.*)\z", 1))
-    second = F.get("lines", F.lit(1))
-    form = r"(?i)\A.*starting offset: ([0-9]+)\z"
-    f = head.select("file_ord", "file_name", F.when(~(F.col("last") & (F.array_join("lines", "") == "")), path).alias("path"), F.when(second.rlike(form), F.regexp_extract(second, form, 1).try_cast("bigint")).alias("starting_offset"), F.size("lines").alias("header_lines"))
-    deep = r.where(~F.col("first")).groupBy("file_ord").agg(F.coalesce(F.bool_or(F.exists("lines", lambda x: F.startswith(x, F.lit("| ")))), F.lit(False)).alias("deep_iteration"), F.sum(F.size("lines")).alias("batch_lines"))
-    f = f.join(deep, "file_ord", "left")
+    totals = split_totals(records)
+    lines = F.split(F.when(F.col("file_records") == 1, F.regexp_replace("lead", r"\n\z", "")).otherwise(F.col("lead")), "\n")
+    f = totals.where("head").select("file_ord", "file_name", lines.alias("lines"), F.col("deep").alias("deep_iteration"), F.col("file_lines").alias("n_lines"))
     if files is not None:
         f = files.select("file_ord", "file_name").join(f.drop("file_name"), "file_ord", "left")
+    lead, second = F.get("lines", F.lit(0)), F.get("lines", F.lit(1))
+    form = r"(?i)\A.*starting offset: ([0-9]+)\z"
+    path = F.when(lead.rlike(r"\ADumping (.*)\z"), F.regexp_extract(lead, r"\ADumping (.*)\z", 1))
+    f = f.select("*", path.alias("path"), F.when(second.rlike(form), F.regexp_extract(second, form, 1).try_cast("bigint")).alias("starting_offset"), F.coalesce(F.size("lines"), F.lit(0)).alias("header_lines"))
     f = f.select(
         "file_ord", "file_name", "path", segment_type(F.col("path")).alias("segment_type"), *topic_columns(F.col("path")), "starting_offset",
         F.regexp_extract(base_name(F.col("path")), r"\A([0-9]+)\.log\z", 1).try_cast("bigint").alias("name_offset"),
-        F.coalesce("deep_iteration", F.lit(False)).alias("deep_iteration"), F.coalesce("header_lines", F.lit(0)).alias("header_lines"), (F.coalesce("header_lines", F.lit(0)) + F.coalesce("batch_lines", F.lit(0))).alias("n_lines"),
+        F.coalesce("deep_iteration", F.lit(False)).alias("deep_iteration"), F.when(F.col("lines").isNull(), 0).otherwise(F.col("header_lines")).alias("header_lines"), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
     )
-    meta = f.select("file_ord", "segment_type", "deep_iteration")
-    b = r.where(~F.col("first")).join(meta, "file_ord")
+    # what the batches need of their file travels with the totals of its splits
+    kind = F.max(F.when(F.col("head"), segment_type(F.regexp_extract(F.col("lead"), r"\ADumping ([^\n]*)", 1)))).over(W.partitionBy("file_ord"))
+    b = numbered(records, totals.withColumn("segment_type", kind)).where(~F.col("first")).withColumnRenamed("deep", "deep_iteration")
     header = F.concat(F.lit(LEAD), F.get("lines", F.lit(0)))
     b = b.select("file_ord", "file_name", "line", "last", "segment_type", "deep_iteration", G.fields(header, G.BATCH_PATTERN).alias("_h"), F.slice("lines", F.lit(2), F.size("lines")).alias("_body"))
     b = b.withColumns(dict(zip([n for _, n, _, _ in G.BATCH], G.typed(F.col("_h"), G.BATCH), strict=True)))

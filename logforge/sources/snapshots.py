@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
-from .dumps import numbered, ordered_files, pieces, scan, topic_columns
+from .dumps import numbered, ordered_files, pieces, scan, split_totals, topic_columns
 
 
 @dataclass
@@ -22,7 +22,7 @@ class Snapshots:
 
 
 def assemble(records: DataFrame, files: DataFrame | None = None) -> Snapshots:
-    lines = numbered(records)
+    lines = numbered(records, split_totals(records))
     # each piece is a line; the piece after a final line end is no line
     lines = lines.where(~(F.col("last") & ~F.col("first") & (F.array_join("lines", "") == ""))).withColumn("value", F.get("lines", F.lit(0)))
     form = r"\ADumping (.*)\z"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from logforge.operators import checks, filters
 from logforge.operators import transactions as T
 from logforge.plans import commands
-from logforge.sources.dumps import parse_segments, read_segments
+from logforge.sources.dumps import LEAD, ordered_files, parse_segments, read_segments, scan
 
 
 def rows(df, *columns):
@@ -148,7 +148,8 @@ def test_against_sequential_reader(spark, tmp_path, seed):
         assert found(s) == []
         for k, (name, text) in enumerate(texts):
             assert rows(s.batches.where(F.col("file_ord") == k).orderBy("line"), "line", "base_offset") == headers(text)
-        assert s.batches.rdd.getNumPartitions() > 1
+        pieces = scan(spark, ordered_files(spark, [str(tmp_path)]), "\n" + LEAD)
+        assert pieces.select("file_ord", "split").distinct().count() > len(texts)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
