@@ -52,7 +52,7 @@ def test_small_buckets_agree(docs, monkeypatch):
 
 def test_better_documents_come_sooner(spark):
     rows = [(i, "w " * 10, s, q) for s, q0 in (("a", 0), ("b", 1)) for i, q in ((i + 1000 * q0, 5.0 if i % 2 else 0.2) for i in range(500))]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality="q")
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality="q", share=1.2)
     total = {r["good"]: r["n"] for r in got.selectExpr("doc_id % 2 = 1 as good", "copies").groupBy("good").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()}
     assert total[True] > total[False]
 
