@@ -57,7 +57,7 @@ def grammar_violations(raw: DataFrame, files: DataFrame) -> list[DataFrame]:
     # the next batch line comes while records are still due; at the end of a file the batch is dropped instead
     short = deep.where("deep_iteration and not last and n_body < count").where(~F.exists("messages", lambda m: m["kind"].isNull()))
     early = _rows(short, 4, "record", text(F.col("count") - F.col("n_body")), F.col("line") + F.col("n_body") + 1)
-    payload = deep.select("*", F.explode("messages").alias("m")).where("m.kind = 'BAD_PAYLOAD'")
+    payload = deep.select("*", F.explode_outer(F.filter("messages", lambda m: m["kind"] == "BAD_PAYLOAD")).alias("m")).where("m is not null")
     return [bad_header, odd_head, extra, body, early, _rows(payload, 4, "payload", F.lit("Didn't match expected pattern"), F.col("m.line"))]
 
 
@@ -88,7 +88,7 @@ def transactional_violations(batches: DataFrame, expected: bool) -> DataFrame:
 
 def state_violations(batches: DataFrame) -> DataFrame:
     """State changes that may not follow the change before, for each session and file (V11)."""
-    m = batches.where(F.col("segment_type") == TRANSACTION_STATE).select("file_ord", "file_name", F.explode("messages").alias("m")).where("m.kind = 'STATE_CHANGE'").select("file_ord", "file_name", F.col("m.line").alias("line"), F.col("m.txn_producer_id").alias("pid"), F.col("m.txn_producer_epoch").alias("epoch"), F.col("m.state").alias("state"))
+    m = batches.where(F.col("segment_type") == TRANSACTION_STATE).select("file_ord", "file_name", F.explode_outer(F.filter("messages", lambda m: m["kind"] == "STATE_CHANGE")).alias("m")).where("m is not null").select("file_ord", "file_name", F.col("m.line").alias("line"), F.col("m.txn_producer_id").alias("pid"), F.col("m.txn_producer_epoch").alias("epoch"), F.col("m.state").alias("state"))
     m = m.withColumn("previous", F.lag("state").over(W.partitionBy("file_ord", "pid", "epoch").orderBy("line")))
     legal = reduce(lambda a, b: a | b, [(F.col("state") == s) & F.col("previous").isin(*before) for s, before in PREVIOUS_STATES.items()])
     return _rows(m.where(F.col("previous").isNotNull() & ~legal), 7, "state_machine", _at(F.concat(F.lit("Illegal state change from "), F.col("previous"), F.lit(" to "), F.col("state"))))

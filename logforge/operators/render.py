@@ -80,7 +80,7 @@ def segment_lines(batches: DataFrame, with_file: bool | Column = False, line_num
         text = F.concat(F.lit(BOLD), head, F.lit(PLAIN), tail, F.lit(f"{BOLD}){PLAIN}"))
     head = F.struct(F.col("line").alias("line"), text.alias("text"))
     body = F.transform("messages", lambda m: F.struct(m["line"].alias("line"), F.concat(F.lit("  "), message_text(m, colour)).alias("text")))
-    out = batches.select("file_ord", "file_name", F.explode(F.concat(F.array(head), body)).alias("x"))
+    out = batches.select("file_ord", "file_name", F.explode_outer(F.concat(F.array(head), body)).alias("x"))
     return out.select("file_ord", F.col("x.line").alias("line"), F.concat(location(F.col("file_name"), F.col("x.line"), with_file, line_numbers), "x.text").alias("line_out")).orderBy("file_ord", "line")
 
 

@@ -7,7 +7,7 @@ session serves the window and the aggregation after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,40 +18,52 @@ BATCH_FIELDS = [
 _SESSION = ["producer_id", "producer_epoch"]
 
 
+def place_of(file_ord: str = "file_ord", line: str = "line") -> Column:
+    """Place in the log as one number."""
+    return F.col(file_ord).cast("bigint") * F.lit(1 << 32) + F.col(line)
+
+
 def events(batches: DataFrame) -> DataFrame:
-    """Data batches of transactions, and every control message with its batch's session and time."""
-    shared = ["file_ord", *_SESSION]
-    one = F.struct(*BATCH_FIELDS).alias("batch")
-    data = batches.where("is_transactional and not is_control").select(*shared, "line", "create_time", F.lit(False).alias("ctl"), F.lit(None).cast("boolean").alias("commit"), one, F.lit(None).cast(batches.schema["messages"].dataType.elementType).alias("marker"))
-    marks = batches.where(F.exists("messages", lambda m: m["kind"] == "CONTROL")).select("*", F.explode("messages").alias("m")).where("m.kind = 'CONTROL'")
-    return data.unionByName(marks.select(*shared, F.col("m.line").alias("line"), "create_time", F.lit(True).alias("ctl"), F.col("m.commit").alias("commit"), one, F.col("m").alias("marker")))
+    """Data batches of transactions, and every control message with its batch's session and time.
+
+    One pass: each batch gives an array of events, so only the messages of control batches are parsed.
+    """
+    kind = batches.schema["messages"].dataType.elementType
+    marks = F.transform(F.filter("messages", lambda m: m["kind"] == "CONTROL"), lambda m: F.struct(m["line"].alias("line"), F.lit(True).alias("ctl"), m.alias("marker")))
+    data = F.array(F.struct(F.col("line"), F.lit(False).alias("ctl"), F.lit(None).cast(kind).alias("marker")))
+    both = F.when(F.col("is_control"), marks).when(F.col("is_transactional"), data)
+    # the outer form, as Spark would otherwise test the array's size by computing it once more
+    e = batches.select("file_ord", *_SESSION, "create_time", F.struct(*BATCH_FIELDS).alias("batch"), F.explode_outer(both).alias("e")).where("e is not null")
+    return e.select("file_ord", F.col("e.line").alias("line"), *_SESSION, "create_time", F.col("e.ctl").alias("ctl"), F.col("e.marker.commit").alias("commit"), "batch", F.col("e.marker").alias("marker"))
 
 
 def transactions(batches: DataFrame) -> DataFrame:
     """One row for each transaction: session, txn_seq, status (COMMITTED, ABORTED, EMPTY, OPEN), number of data batches, duration, first and closing batch.
 
     The duration is from the first data batch in log order to the batch of the end
-    marker, in milliseconds; it may be negative.  State carries over from file to file.
+    marker, in milliseconds; it may be negative.  State carries over from file to
+    file.  Columns that are not used cost nothing: a summary shuffles five numbers an event.
     """
-    before = W.partitionBy(*_SESSION).orderBy("file_ord", "line").rowsBetween(W.unboundedPreceding, -1)
-    e = events(batches).withColumn("txn_seq", F.coalesce(F.sum(F.col("ctl").cast("int")).over(before), F.lit(0)))
-    place = F.struct("file_ord", "line")
-    data = ~F.col("ctl")
+    before = W.partitionBy(*_SESSION).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    e = events(batches).withColumn("place", place_of()).withColumn("txn_seq", F.coalesce(F.sum(F.col("ctl").cast("int")).over(before), F.lit(0)))
+    ctl, data = F.when(F.col("ctl"), F.col("place")), F.when(~F.col("ctl"), F.col("place"))
     t = e.groupBy(*_SESSION, "txn_seq").agg(
-        F.count_if(data).alias("n_data"),
-        F.bool_or("ctl").alias("closed"),
-        F.max("commit").alias("commit"),
-        F.min_by(F.when(data, F.struct("file_ord", "batch")), F.when(data, place)).alias("first"),
-        F.max(F.when(F.col("ctl"), F.struct("file_ord", "line", "batch"))["batch"]).alias("closing"),
-        F.max(F.when(F.col("ctl"), F.struct("file_ord", "line"))).alias("closed_at"),
-        F.max(F.when(F.col("ctl"), F.col("marker"))).alias("marker"),
+        F.count(data).alias("n_data"),
+        F.max(ctl).alias("closed"),
+        F.min(data).alias("begun"),
+        F.max(F.when(F.col("ctl"), F.col("commit"))).alias("commit"),
+        F.max(F.when(F.col("ctl"), F.col("create_time"))).alias("end_time"),
+        F.min_by("create_time", data).alias("begin_time"),
+        F.min_by("batch", data).alias("first_batch"),
+        F.max_by("batch", ctl).alias("closing_batch"),
+        F.max_by("marker", ctl).alias("marker"),
     )
-    status = F.when(~F.col("closed"), "OPEN").when(F.col("n_data") == 0, "EMPTY").when(F.col("commit"), "COMMITTED").otherwise("ABORTED")
+    status = F.when(F.col("closed").isNull(), "OPEN").when(F.col("n_data") == 0, "EMPTY").when(F.col("commit"), "COMMITTED").otherwise("ABORTED")
+    part = lambda name: [F.floor(F.col(name) / F.lit(1 << 32)).cast("int"), F.pmod(F.col(name), F.lit(1 << 32)).cast("int")]
     return t.select(
         *_SESSION, F.col("txn_seq").cast("bigint").alias("txn_seq"), status.alias("status"), "n_data", "commit",
-        F.when(F.col("closed") & (F.col("n_data") > 0), F.col("closing.create_time") - F.col("first.batch.create_time")).alias("duration_ms"),
-        F.col("first.file_ord").alias("first_file_ord"), F.col("first.batch").alias("first_batch"), F.col("closing").alias("closing_batch"),
-        F.col("closed_at.file_ord").alias("closed_file_ord"), F.col("closed_at.line").alias("closed_line"), "marker",
+        F.when(F.col("closed").isNotNull() & (F.col("n_data") > 0), F.col("end_time") - F.col("begin_time")).alias("duration_ms"),
+        part("begun")[0].alias("first_file_ord"), "first_batch", "closing_batch", part("closed")[0].alias("closed_file_ord"), part("closed")[1].alias("closed_line"), "marker",
     )
 
 
@@ -82,7 +94,7 @@ def open_transactions(txns: DataFrame) -> DataFrame:
 
 def first_last(batches: DataFrame) -> DataFrame:
     """The first and the last batch of the input."""
-    place, one = F.struct("file_ord", "line"), F.struct(*BATCH_FIELDS)
+    place, one = place_of(), F.struct(*BATCH_FIELDS)
     return batches.agg(F.min_by(one, place).alias("first_batch"), F.max_by(one, place).alias("last_batch"))
 
 

@@ -20,7 +20,7 @@ def _batches(df: DataFrame) -> DataFrame:
 
 
 def _messages(df: DataFrame, kind: str, *names: str) -> DataFrame:
-    m = df.select("file_ord", F.explode("messages").alias("m")).where(F.col("m.kind") == kind)
+    m = df.select("file_ord", F.explode_outer(F.filter("messages", lambda m: m["kind"] == kind)).alias("m")).where("m is not null")
     return m.select("file_ord", *[F.col(f"m.{n}").alias(n) for n in ("line", "offset", "create_time", "key_size", "value_size", "sequence", "header_keys", *names)])
 
 

@@ -70,16 +70,20 @@ def pieces(spark: SparkSession, texts: Iterable[tuple[str, str]], separator: str
     return df.select("file_ord", "file_name", F.lit(0).cast("bigint").alias("split"), parts.alias("place", "value")).withColumn("place", F.col("place").cast("bigint"))
 
 
-def split_totals(records: DataFrame) -> DataFrame:
-    """One row for each split of each file, from one narrow aggregation over the text.
+def split_totals(records: DataFrame, usual: str) -> DataFrame:
+    """One row for each split of each file, from one hash aggregation over the text.
 
+    ``usual`` is the pattern that all pieces but a file's first begin with, so
+    that only the other pieces (the header, as a rule) are held while aggregating.
     base: lines before the split; head, tail: whether it is the file's first or last;
     lead: the file's first piece (in its first split); file_lines, file_records and deep: of the whole file.
     """
     lines = F.size(F.split("value", "\n")).cast("bigint")
+    odd = F.when(~F.col("value").rlike(rf"\A(?:{usual})"), F.struct("place", "value"))
     t = records.groupBy("file_ord", "file_name", "split").agg(
-        F.sum(lines).alias("all"), F.count(F.lit(1)).alias("k"), F.bool_or(F.contains("value", F.lit("\n| "))).alias("body"), F.min_by("value", "place").alias("lead"), F.max_by(F.endswith("value", F.lit("\n")), "place").alias("blank")
-    )
+        F.sum(lines).alias("all"), F.count(F.lit(1)).alias("k"), F.bool_or(F.contains("value", F.lit("\n| "))).alias("body"), F.min("place").alias("first_place"),
+        F.max_by(F.endswith("value", F.lit("\n")), "place").alias("blank"), F.array_min(F.collect_list(odd)).alias("odd"),
+    ).withColumn("lead", F.when(F.col("odd.place") == F.col("first_place"), F.col("odd.value")))
     by_file = W.partitionBy("file_ord")
     last = F.max(F.struct("split", "blank")).over(by_file)
     return t.select(
@@ -147,7 +151,7 @@ def assemble(records: DataFrame, files: DataFrame | None = None) -> Segments:
 
     ``files`` (file_ord, file_name) adds files that have no line at all.
     """
-    totals = split_totals(records)
+    totals = split_totals(records, "[0-9]")
     lines = F.split(F.when(F.col("file_records") == 1, F.regexp_replace("lead", r"\n\z", "")).otherwise(F.col("lead")), "\n")
     f = totals.where("head").select("file_ord", "file_name", lines.alias("lines"), F.col("deep").alias("deep_iteration"), F.col("file_lines").alias("n_lines"))
     if files is not None:

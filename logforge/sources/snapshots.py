@@ -22,7 +22,7 @@ class Snapshots:
 
 
 def assemble(records: DataFrame, files: DataFrame | None = None) -> Snapshots:
-    lines = numbered(records, split_totals(records))
+    lines = numbered(records, split_totals(records, "producerId: "))
     # each piece is a line; the piece after a final line end is no line
     lines = lines.where(~(F.col("last") & ~F.col("first") & (F.array_join("lines", "") == ""))).withColumn("value", F.get("lines", F.lit(0)))
     form = r"\ADumping (.*)\z"
