@@ -24,8 +24,8 @@ COMMON_WORDS = {
 #: For other languages and for none: the first four words of each list.
 MIXED_WORDS = tuple(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words[:4]))[:16]
 
-MAX_CLASS_DISTANCE, MIN_CHARS = 0.27, 300
-MAX_WORD_DISTANCE, MIN_WORDS = 0.262, 100
+MAX_CLASS_DISTANCE, MIN_CHARS = 0.29, 300
+MAX_WORD_DISTANCE, MIN_WORDS = 0.275, 100
 #: Reference rows (one for each language) are broadcast up to this many.
 BROADCAST_LANGUAGES = 10_000
 _SPACE = r"\x20\x09-\x0D"
