@@ -36,14 +36,18 @@ _NAMES = re.compile(
     r"masthead|page-?head(?:er)?|site-?head(?:er)?|topbar|toolbar|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|comment\w*|replies|disqus|"
     r"respond|discussion|social\w*|shar(?:e|ing)\w*|related\w*|recommend\w*|widget\w*|tags?|login|signup|search\w*|pagination|pager|copyright|legal|disclaimer)(?=$|[\s_-])"
 )
+#: Headers count as boilerplate outside articles; articles and main parts only if they are comments, adverts or teasers themselves.
+_HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?=$|[\s_-])")
+_INSERT = re.compile(r"(?i)(?:^|\s)(?:comments|replies|ads|(?:comment|reply|ad|advert\w*|sponsored|promo|related|teaser)(?:[_-]\w+)?)(?=$|\s)")
+_HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _GOOD = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|main|post|story|entry|body|text)(?=$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^\"'>])*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"(?:\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 #: Weights of the classifier, in log-odds of content; a positive sum is a cost of calling the block boilerplate.
-WEIGHTS = {"bias": -0.6, "article": 3.0, "good": 1.2, "outer": -6.0, "page_header": -4.0, "named": -5.0, "paragraph": 1.0, "heading": 0.6, "list": -0.4, "length": 1.2, "sentence": 0.8, "links": -2.5}
+WEIGHTS = {"bias": -0.6, "article": 3.0, "good": 1.2, "outer": -9.0, "page_header": -6.0, "named": -8.0, "paragraph": 1.0, "heading": 0.6, "list": -0.4, "length": 1.2, "sentence": 0.8, "links": -2.5}
 #: Smoothness between neighbours in one container, between other neighbours, and between successive blocks of one container.
 SAME, NEXT, CONTAINER = 0.8, 0.1, 0.3
 
@@ -138,11 +142,19 @@ def blocks_of(page: str) -> list[Block]:
             if name in ("hidden", "aria-hidden"):
                 if name == "hidden" or value.lower() == "true":
                     new.add("outer")
+            elif name == "style":
+                if _HIDDEN.search(value):
+                    new.add("outer")
+            elif tag in ("article", "main"):
+                if _INSERT.search(value):
+                    new.add("named")
             elif tag not in ("body", "html"):
-                if _NAMES.search(value) and not (tag in ("article", "main") and name != "role"):
+                if _NAMES.search(value):
                     new.add("named")
                 elif _GOOD.search(value):
                     new.add("good")
+                elif _HEADER.search(value) and "article" not in flags:
+                    new.add("page_header")
         stack.append((tag, number, flags | new if new else flags))
     flush()
     return out

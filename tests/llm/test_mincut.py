@@ -33,6 +33,24 @@ def test_page():
     assert mincut.main_text(PAGE) == "My & title\n\nFirst para with text <b> and more text here.\n\nitem one\n\nitem two\n\nShort.\n\nLast para, with a link."
 
 
+LONG = "A long sentence that reads like any other in this place, and goes on for a good while, as sentences do."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=header>Site</div><div class=post><h1>T</h1><p>{LONG}</p></div><div class='side-bar'><p>{LONG}</p></div>", f"T\n\n{LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><section id=comments><p>{LONG}</p></section></article>", f"T\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><article class='comment depth-1'><p>{LONG}</p></article><p>End.</p></article>", f"{LONG}\n\nEnd."),
+        (f"<main><p>{LONG}</p><p style='display: none'>{LONG}</p><p hidden>{LONG}</p></main>", LONG),
+        (f"<article class='post comments-open'><p>{LONG}</p></article><div class=newsletter-signup><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><ul class='related-links'><li><a href=x>{LONG}</a></li></ul></article>", LONG),
+    ],
+)
+def test_boilerplate_of_many_kinds(page, text):
+    assert mincut.main_text(page) == text
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>x", "</div></div>", "<p>" * 500, "<a href='>'>x</a>"])
 def test_broken_pages(page):
     assert isinstance(mincut.main_text(page), str)
