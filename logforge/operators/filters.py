@@ -33,14 +33,19 @@ def batch_predicate(pid: int | None = None, producer_epoch: int | None = None, l
     return _both(tests)
 
 
-def check_filters(files: DataFrame, pid: int | None = None, producer_epoch: int | None = None, transactional_id: str | None = None) -> None:
-    """Raise where a filter does not apply to a kind of file.  Looks at the file table only."""
-    if transactional_id is not None and not files.where(F.col("segment_type") != TRANSACTION_STATE).isEmpty():
+def check_kinds(kinds: set[str], pid: int | None = None, producer_epoch: int | None = None, transactional_id: str | None = None) -> None:
+    """Raise where a filter does not apply to a kind of file."""
+    if transactional_id is not None and kinds - {TRANSACTION_STATE}:
         raise ValueError(f"a transactional id can only be used on partitions of {STATE_TOPIC}")
-    if (pid is not None or producer_epoch is not None) and not files.where(F.col("segment_type") == CONSUMER_OFFSETS).isEmpty():
+    if (pid is not None or producer_epoch is not None) and CONSUMER_OFFSETS in kinds:
         raise ValueError("producer filters do not apply to partitions of consumer offsets")
 
 
+def check_filters(files: DataFrame, **tests) -> None:
+    """``check_kinds`` of a file table."""
+    check_kinds({r[0] for r in files.select("segment_type").distinct().collect()}, **tests)
+
+
 def filter_batches(batches: DataFrame, **tests) -> DataFrame:
     predicate = batch_predicate(**tests)
     return batches if predicate is None else batches.where(predicate)

@@ -13,35 +13,43 @@ from ..sources.dumps import DATA, OFFSETS_TOPIC, STATE_TOPIC, TRANSACTION_STATE,
 from ..sources.snapshots import Snapshots, read_snapshots
 
 
+def facts(files: DataFrame) -> tuple[list, bool]:
+    """Kinds and topic suffixes of the files, by their first file, and whether there are several files: one small aggregation."""
+    found = files.groupBy("segment_type", "topic_suffix").agg(F.count(F.lit(1)).alias("n"), F.min("file_ord").alias("first")).collect()
+    return sorted(found, key=lambda r: r["first"]), sum(r["n"] for r in found) > 1
+
+
 def segment_cat(s: Segments, line_numbers: bool = False, pid: int | None = None, producer_epoch: int | None = None, leader_epoch: int | None = None, transactional_id: str | None = None, strict: bool = True, colour: bool = False) -> DataFrame:
     """Lines of all batches and messages that pass the filters; ``strict`` raises for the first violation instead."""
-    filters.check_filters(s.files, pid, producer_epoch, transactional_id)
+    kinds, several = facts(s.files)
+    filters.check_kinds({r["segment_type"] for r in kinds}, pid, producer_epoch, transactional_id)
     if strict:
         checks.require_valid(checks.violations(s))
     chosen = filters.filter_batches(s.batches, pid=pid, producer_epoch=producer_epoch, leader_epoch=leader_epoch, transactional_id=transactional_id)
-    return render.segment_lines(chosen, s.files.count() > 1, line_numbers, colour)
+    return render.segment_lines(chosen, several, line_numbers, colour)
 
 
-def guard_txn_stat(files: DataFrame) -> None:
-    """Data segments only, and one topic suffix."""
-    other = files.where(F.col("segment_type") != DATA).orderBy("file_ord").first()
-    if other:
-        raise ValueError(f"{STATE_TOPIC if other['segment_type'] == TRANSACTION_STATE else OFFSETS_TOPIC} partitions do not contain transactional messages")
-    found = sorted(str(r[0]) for r in transactions.topics(files).limit(100).collect())
+def guard_txn_stat(kinds: list) -> None:
+    """Data segments only, and one topic suffix (null counts as one)."""
+    for r in kinds:
+        if r["segment_type"] != DATA:
+            raise ValueError(f"{STATE_TOPIC if r['segment_type'] == TRANSACTION_STATE else OFFSETS_TOPIC} partitions do not contain transactional messages")
+    found = sorted({str(r["topic_suffix"]) for r in kinds})
     if len(found) > 1:
         raise ValueError(f"Segment dumps come from multiple different topics {found}")
 
 
 def txn_stat(s: Segments, line_numbers: bool = False, pid: int | None = None, producer_epoch: int | None = None, leader_epoch: int | None = None, strict: bool = True, wrap_int32: bool = False) -> DataFrame:
     """The transaction report.  Filters come before transactions are formed, so a leader epoch may leave some without data or end."""
-    guard_txn_stat(s.files)
+    kinds, several = facts(s.files)
+    guard_txn_stat(kinds)
     chosen = filters.filter_batches(s.batches, pid=pid, producer_epoch=producer_epoch, leader_epoch=leader_epoch)
     if strict:
         checks.require_valid(checks.violations(s).unionByName(checks.control_count_violations(chosen)))
     txns = transactions.transactions(chosen)
     if wrap_int32:
         txns = txns.withColumn("duration_ms", transactions.wrap_int32())
-    return render.report_lines(txns, transactions.summary(txns), s.files.count() > 1, line_numbers)
+    return render.report_lines(txns, transactions.summary(txns), several, line_numbers)
 
 
 def snapshot_cat(s: Snapshots, line_numbers: bool = False, pid: int | None = None, producer_epoch: int | None = None, strict: bool = True, colour: bool = False) -> DataFrame:
