@@ -167,8 +167,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     Words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than ``n`` words has one
     shingle.  Null and empty texts have no shingles: they are alone in their
     class, as are rows without doc_id (whose ids are null).  Rows that share a
-    doc_id are one node.  Other columns are ignored.  An empty table gives an
-    empty result.
+    doc_id are one node; repeated rows count as documents in ``n_links``.  Other
+    columns are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -210,7 +210,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     known = sets.select("d1", "d2", "rep", "copies").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("d1", "d2", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("texts", F.lit(0)).alias("texts"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("documents"))
-    return signed.join(known, ["d1", "d2"], "left").select(
+    named = signed.withColumn("d1", F.when(F.col("doc_id").isNotNull(), F.col("d1")))
+    return named.join(known, ["d1", "d2"], "left").select(
         "doc_id",
         F.coalesce("class", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("copy_id"),

@@ -115,7 +115,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, pr
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int = 8000, most_unlabelled: int = 60000, least_texts: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int = 8000, most_unlabelled: int = 40000, least_texts: int = 4) -> Model:
     """Model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Only rows with crc32(doc_id as text) mod ``fold`` other than 0 take part.
@@ -152,14 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int
                     keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(family.shape[1] * 8), len(counts), [None, pa.py_buffer(family)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([keys, packed], ["family", "words"])
 
-        got = rows.mapInArrow(features, "family binary, words binary").toArrow()
+        got = rows.mapInArrow(features, "family binary, words binary").toArrow().sort_by([("family", "ascending"), ("words", "ascending")])
         seen: set[int] = set()
         out = []
-        for family, packed in sorted(zip(got.column("family").to_pylist(), got.column("words").to_pylist(), strict=True)):
-            keys = [hash((i, k)) for i, k in enumerate(np.frombuffer(family, np.int64).tolist())]
-            if seen.isdisjoint(keys):
-                out.append(np.frombuffer(packed, np.uint64 if known_words is None else np.int32))
-            seen.update(keys)
+        for batch in got.to_batches(max_chunksize=1000):  # a thousand rows as Python objects at a time
+            for family, packed in zip(batch.column("family").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                keys = [hash((i, k)) for i, k in enumerate(np.frombuffer(family, np.int64).tolist())]
+                if seen.isdisjoint(keys):
+                    out.append(np.frombuffer(packed, np.uint64 if known_words is None else np.int32))
+                seen.update(keys)
         return out
 
     positive = sampled(known.where("toxic = 1").select(key), most_positive, None)
