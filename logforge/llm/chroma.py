@@ -139,21 +139,44 @@ def align(query: np.ndarray, other: np.ndarray, offset: int) -> tuple[int, float
     return n, float(_BITS[x & 0xFFFF].sum() + _BITS[x >> 16].sum()) / (32 * n)
 
 
-def match_block(queries: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]], least_hits: int = 3, most_error: float = 0.2, least_overlap: int = 16, tries: int = 3) -> list[tuple[int, int, int, int, int, float]]:
+def align_all(q_code: np.ndarray, q_start: np.ndarray, q_size: np.ndarray, d_code: np.ndarray, d_start: np.ndarray, d_size: np.ndarray, offset: np.ndarray, least_overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` of many pairs, whose codes lie end to end: overlaps and errors, the error of an overlap below ``least_overlap`` or 1 is 1."""
+    a, b = np.maximum(0, -offset), np.maximum(0, offset)
+    n = np.maximum(np.minimum(q_size - a, d_size - b), 0)
+    x_at, y_at, error = q_start + a, d_start + b, np.ones(len(n))
+    live = np.flatnonzero(n >= max(least_overlap, 1))
+    total = np.cumsum(n[live])
+    # about a million codes at a time
+    cuts = [0, *(np.flatnonzero(np.diff((total - 1) >> 20)) + 1).tolist(), len(live)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        part = live[lo:hi]
+        if not len(part):
+            continue
+        first = np.cumsum(n[part]) - n[part]
+        step = np.arange(n[part].sum()) - np.repeat(first, n[part])
+        x = q_code[np.repeat(x_at[part], n[part]) + step] ^ d_code[np.repeat(y_at[part], n[part]) + step]
+        error[part] = np.add.reduceat(_BITS[x & 0xFFFF].astype(np.int64) + _BITS[x >> 16], first) / (32 * n[part])
+    return n, error
+
+
+def match_block(queries: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]], least_hits: int = 3, most_error: float = 0.2, least_overlap: int = 16, tries: int | None = None) -> list[tuple[int, int, int, int, int, float]]:
     """(query, other, offset, hits, overlap, bit_error) of the recordings that align.
 
-    Equal codes vote for an offset.  The ``tries`` fullest offsets of each pair
-    that have ``least_hits`` votes are tested, and the one of least error counts.
+    Equal codes vote for an offset.  All offsets of each pair that have
+    ``least_hits`` votes are tested (with ``tries`` only so many, the fullest),
+    and the one of least error counts.
     """
     q_code = np.concatenate([c for _, c in queries]) if queries else np.zeros(0, np.uint32)
     d_code = np.concatenate([c for _, c in others]) if others else np.zeros(0, np.uint32)
     if not len(q_code) or not len(d_code):
         return []
-    spread = lambda side: (np.repeat(np.arange(len(side)), [len(c) for _, c in side]), np.concatenate([np.arange(len(c)) for _, c in side]))
-    (q_own, q_at), (d_own, d_at) = spread(queries), spread(others)
+    q_size, d_size = (np.array([len(c) for _, c in side], np.int64) for side in (queries, others))
+    q_start, d_start = np.cumsum(q_size) - q_size, np.cumsum(d_size) - d_size
+    q_own, d_own = (np.repeat(np.arange(len(size)), size) for size in (q_size, d_size))
+    q_at, d_at = np.arange(len(q_code)) - q_start[q_own], np.arange(len(d_code)) - d_start[d_own]
     order = np.argsort(q_code, kind="stable")
     low, high = np.searchsorted(q_code[order], d_code, "left"), np.searchsorted(q_code[order], d_code, "right")
-    votes: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    out = []
     # recordings one run at a time, so that frequent codes make no larger array
     total = np.cumsum(high - low)
     runs = np.searchsorted(total, np.arange(0, total[-1], 1 << 20), "left") if len(total) and total[-1] else []
@@ -166,15 +189,19 @@ def match_block(queries: list[tuple[int, np.ndarray]], others: list[tuple[int, n
         if not key.shape[1]:
             continue
         found, hits = np.unique(key, axis=1, return_counts=True)
-        for (q, o, offset), n in zip(found.T[hits >= least_hits].tolist(), hits[hits >= least_hits].tolist(), strict=True):
-            votes.setdefault((q, o), []).append((n, offset))
-    out = []
-    for (q, o), offsets in votes.items():
-        tests = [(*align(queries[q][1], others[o][1], f), f, n) for n, f in sorted(offsets, key=lambda v: (-v[0], v[1]))[:tries]]
-        good = [(error, f, n, size) for size, error, f, n in tests if size >= least_overlap and error <= most_error]
-        if good:
-            error, f, n, size = min(good)
-            out.append((queries[q][0], others[o][0], f, n, size, error))
+        (q, o, offset), hits = found[:, hits >= least_hits], hits[hits >= least_hits]
+        if tries is not None:
+            fullest = np.lexsort((offset, -hits, o, q))
+            q, o, offset, hits = q[fullest], o[fullest], offset[fullest], hits[fullest]
+            first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (o[1:] != o[:-1]))[: len(q)])
+            rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            q, o, offset, hits = (v[rank < tries] for v in (q, o, offset, hits))
+        size, error = align_all(q_code, q_start[q], q_size[q], d_code, d_start[o], d_size[o], offset, least_overlap)
+        good = np.flatnonzero((size >= least_overlap) & (error <= most_error))
+        good = good[np.lexsort((offset[good], error[good], o[good], q[good]))]
+        best = good[np.append(True, (q[good][1:] != q[good][:-1]) | (o[good][1:] != o[good][:-1]))[: len(good)]]
+        rows = zip(*(v[best].tolist() for v in (q, o, offset, hits, size, error)), strict=True)
+        out += [(queries[i][0], others[j][0], f, n, m, e) for i, j, f, n, m, e in rows]
     return out
 
 

@@ -41,6 +41,30 @@ def test_offsets_equal_brute_force():
             assert got.get((q, o)) == want
 
 
+def test_defaults_equal_brute_force():
+    r = np.random.default_rng(6)
+    x, y = r.integers(1, 1 << 32, (2, 300)).astype(np.uint32)
+    y[200:240] = x[20:60]
+    x[100:200], y[20:170] = 7, 7
+    sets = [x, y, *(r.integers(0, 6, r.integers(0, 60)).astype(np.uint32) for _ in range(8))]
+    got = {(q, o): (f, h, n, e) for q, o, f, h, n, e in chroma.match_block(list(enumerate(sets)), list(enumerate(sets)))}
+    for q, x in enumerate(sets):
+        for o, y in enumerate(sets):
+            shifts = [j - i for i in range(len(x)) for j in np.flatnonzero(y == x[i]).tolist()]
+            votes = dict(zip(*np.unique(shifts, return_counts=True), strict=True)) if shifts else {}
+            tests = [(e, f, h, n) for f, h in votes.items() if h >= 3 for n, e in [chroma.align(x, y, f)] if n >= 16 and e <= 0.2]
+            want = min(tests, default=None)
+            assert got.get((q, o)) == (want and (want[1], want[2], want[3], want[0]))
+
+
+def test_match_behind_a_constant_run():
+    r = np.random.default_rng(7)
+    x, y = r.integers(0, 1 << 32, (2, 340)).astype(np.uint32)
+    y[300:] = x[:40]  # overlap of the true offset: 40 equal codes
+    x[100:200], y[20:170] = 7, 7
+    assert [m[2:] for m in chroma.match_block([(0, x)], [(1, y)])] == [(300, 40, 40, 0.0)]
+
+
 def test_formats():
     a = song(4)
     stereo = np.repeat(np.round(a * 32767).astype("<i2"), 2).tobytes()
