@@ -5,6 +5,7 @@ cascade of transducers rewrites disguises - homoglyphs, spelled digits, "at" and
 "dot" in words or brackets - into plain characters.  Every output character keeps
 the source span it came from, so identifiers found in the rewritten text map back
 to the source.  A found span counts as added if it covers a rewritten character.
+Spelled digits have more than one reading, and what any of them shows counts.
 
 Only texts with a cue reach Python strings: a vectorised pass over the Arrow
 buffer looks for digits, at signs, non-Latin characters, and the hashes of the
@@ -13,6 +14,7 @@ words that disguises use.
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -120,6 +122,11 @@ _AT, _DOT, _PLUS = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(PLUS_WORDS)
 _RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_PLUS})\s+)?(?:(?:{_DIGIT})(?:[\s,.-]+|(?=$|[^\w]))|[0-9](?:[\s,.-]+)){{3,}}")
 _PART = re.compile(rf"(?i)\b({_DIGIT})\b|\b(?:{_PLUS})\b")
 _GAP = re.compile(r"(?<=[0-9])[\s,.-]+(?=[0-9])|(?<=\+)\s+(?=[0-9])")
+#: A digit word (digits may touch it, letters not), a word for plus, plain digits, a plus sign.
+_ITEM = re.compile(rf"(?i)(?<![^\W\d_])(?:({_DIGIT})|({_PLUS}))(?![^\W\d_])|[0-9]+|\+")
+#: What the phone and IP rules allow between digits.
+_BETWEEN = re.compile(r"[ \t().-]*")
+_BLANK = re.compile(r"(?<=[0-9])[ \t-]+(?=[0-9])|(?<=\+)[ \t]+(?=[0-9])")
 _BRACKET_AT = re.compile(rf"(?i)\s*{_OPEN}(?:{_AT}|@){_CLOSE}\s*")
 _BRACKET_DOT = re.compile(rf"(?i)\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*")
 _WORD_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{_DOT})\s+(?=[A-Za-z0-9])")
@@ -138,8 +145,38 @@ def _lookalike(c: str) -> str | None:
     return str(digit) if digit is not None else None
 
 
-def deobfuscate(text: str) -> Tape:
-    """The cascade: homoglyphs, disguised at and dot, spelled digits."""
+def _digit(word: str) -> str:
+    return DIGIT_WORDS[word.translate({0x130: "i", 0x131: "i"}).lower()]
+
+
+def _spelled_out(tape: Tape) -> None:
+    """Runs of three digit words or more: every separator becomes one blank."""
+    words = []
+    for run in _RUN.finditer(tape.text):
+        parts = list(_PART.finditer(run[0]))
+        if sum(bool(p[1]) for p in parts) >= 3:
+            words += [(run.start() + p.start(), run.start() + p.end(), _digit(p[1]) if p[1] else "+") for p in parts]
+    if words:
+        tape.rewrite(words)
+        gaps = [m for m in _GAP.finditer(tape.text) if tape.made[m.start() - 1] or tape.made[m.end()]]
+        tape.rewrite([(m.start(), m.end(), "" if tape.text[m.start() - 1] == "+" else " ") for m in gaps])
+
+
+def _partly_spelled(tape: Tape) -> None:
+    """Every digit word next to digits, a plus or another digit word: dots stay, blanks and hyphens around it go."""
+    items = list(_ITEM.finditer(tape.text))
+    near = [bool(_BETWEEN.fullmatch(tape.text, x.end(), y.start())) for x, y in zip(items, items[1:], strict=False)]
+    words = []
+    for m, before, after in zip(items, [False, *near], [*near, False], strict=False):
+        if m[1] and (before or after) or m[2] and after:
+            words.append((m.start(), m.end(), _digit(m[1]) if m[1] else "+"))
+    if words:
+        tape.rewrite(words)
+        tape.rewrite([(m.start(), m.end(), "") for m in _BLANK.finditer(tape.text) if tape.made[m.start() - 1] or tape.made[m.end()]])
+
+
+def deobfuscate(text: str) -> list[Tape]:
+    """The cascade: homoglyphs, disguised at and dot, spelled digits; one tape for each reading of the digits."""
     tape = Tape(text)
     glyphs = {c: g for c in set(text) if ord(c) > 127 and (g := _lookalike(c)) is not None}
     if glyphs:
@@ -152,29 +189,26 @@ def deobfuscate(text: str) -> Tape:
                     tape.made[i] = tape.made[i + 1] = True
     for rule, new in ((_WORD_AT, "@"), (_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_WORD_DOT, ".")):
         tape.rewrite([(m.start(), m.end(), new) for m in rule.finditer(tape.text)])
-    words = []
-    for run in _RUN.finditer(tape.text):
-        parts = list(_PART.finditer(run[0]))
-        if sum(bool(p[1]) for p in parts) >= 3:
-            words += [(run.start() + p.start(), run.start() + p.end(), DIGIT_WORDS[p[1].lower()] if p[1] else "+") for p in parts]
-    if words:
-        tape.rewrite(words)
-        gaps = [m for m in _GAP.finditer(tape.text) if tape.made[m.start() - 1] or tape.made[m.end()]]
-        tape.rewrite([(m.start(), m.end(), "" if tape.text[m.start() - 1] == "+" else " ") for m in gaps])
-    return tape
+    out = [tape]
+    for reading in (_spelled_out, _partly_spelled):
+        read = copy.copy(tape)
+        reading(read)
+        if read.text != tape.text:
+            out.append(read)
+    return out
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) in source characters of what only the rewritten text shows."""
-    tape = deobfuscate(text)
-    if not any(tape.made):
-        return []
     have, out = set(base), set()
-    for start, kind, end in base_spans(tape.text):
-        if any(tape.made[start:end]):
-            span = (tape.first[start], kind, tape.past[end - 1])
-            if span not in have:
-                out.add(span)
+    for tape in deobfuscate(text):
+        if not any(tape.made):
+            continue
+        for start, kind, end in base_spans(tape.text):
+            if any(tape.made[start:end]):
+                span = (tape.first[start], kind, tape.past[end - 1])
+                if span not in have:
+                    out.add(span)
     return sorted(out)
 
 
@@ -206,19 +240,25 @@ def cues(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plain = row_of(np.flatnonzero(_PLAIN_BYTE[raw]))
     odd = row_of(np.flatnonzero(_CUE_BYTE[raw]))
     bracket = row_of(np.flatnonzero(_BRACKET_BYTE[raw]))
+    digits = np.concatenate(([0], np.cumsum((raw >= 0x30) & (raw <= 0x39))))
     raw = _FOLD[raw]
+    if n:  # capital Latin-1 letters
+        raw[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)] |= 0x20
     start, end, counts = textbuf.words(raw, at)
     short = np.flatnonzero(end - start <= 12)
     found = textbuf.span_hashes(raw, start[short], end[short])
     is_in = lambda table: table[np.minimum(np.searchsorted(table, found), len(table) - 1)] == found
     digit, link = short[is_in(_DIGIT_TABLE)], start[short[is_in(_LINK_TABLE)]]
-    if len(digit) > 2:  # three digit words in a row
-        digit = digit[:-2][(digit[1:-1] == digit[:-2] + 1) & (digit[2:] == digit[:-2] + 2)]
-        odd |= row_of(start[digit])
+    if len(digit):  # next to digits or another digit word
+        spelled = np.zeros(len(start) + 2, bool)
+        spelled[digit + 1] = True
+        before, after = np.append(0, end)[digit], np.append(start, len(raw))[digit + 1]
+        near = spelled[digit] | spelled[digit + 2] | (digits[start[digit]] > digits[before]) | (digits[after] > digits[end[digit]])
+        odd |= row_of(start[digit[near]])
     return plain, odd | row_of(link), bracket
 
 
-_DIGIT_TABLE = _table([*DIGIT_WORDS])
+_DIGIT_TABLE = _table([*DIGIT_WORDS, *PLUS_WORDS])
 _LINK_TABLE = _table([*DOT_WORDS, *(w for w in AT_WORDS if w != "at")])
 _BRACKETS = re.compile(rf"(?i){_OPEN}(?:{_AT}|@|\.){_CLOSE}")
 

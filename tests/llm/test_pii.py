@@ -55,6 +55,37 @@ def test_disguises_map_back(text, kind, source):
     assert next(iter(pii.spans_of(pa.array([text])))) == (base, added)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("call +1 415 five five 5 2671 now", "phone", "+1 415 five five 5 2671"),
+        ("call +1 415 five55 2671 now", "phone", "+1 415 five55 2671"),
+        ("call +one 415-555-2671 now", "phone", "+one 415-555-2671"),
+        ("call plus 1 (415) 555 267 one now", "phone", "plus 1 (415) 555 267 one"),
+        ("call +49 30 FÜNF 5 5 2 6 7 1 now", "phone", "+49 30 FÜNF 5 5 2 6 7 1"),
+        ("card 4111 1111 1111 one one 11 ok", "card", "4111 1111 1111 one one 11"),
+        ("card 4111-1111-1111-111one ok", "card", "4111-1111-1111-111one"),
+        ("ip one nine two dot one six eight dot one dot two zero ok", "ip", "one nine two dot one six eight dot one dot two zero"),
+        ("ip 192.one.2.3 ok", "ip", "192.one.2.3"),
+        ("ip one.two.three.four ok", "ip", "one.two.three.four"),
+        ("ip 192 dot 16 eight dot one dot 20 ok", "ip", "192 dot 16 eight dot one dot 20"),
+    ],
+)
+def test_partly_spelled_numbers(text, kind, source):
+    added = pii.added_spans(text, pii.base_spans(text))
+    assert (pii.KINDS.index(kind), source) in [(k, text[a:b]) for a, k, b in added]
+    texts = ["", "no cue", text, "one", "5"]
+    assert list(pii.spans_of(pa.array(texts)))[2] == (pii.base_spans(text), added)
+    assert source not in pii.redact_text(text, pii.base_spans(text) + added)
+
+
+def test_words_beside_numbers_hide_none():
+    for text in ("４１１１ １１１１ １１１１ １１１１ one", "four. one. one. one. one. one. one. one. one. one. one. one. one. one. one. one"):
+        assert 2 in [k for _, k, _ in pii.added_spans(text, [])]
+    for text in ("sıx 5 and SİX 5", "take one 5 or two", "page one ... 7", "plus 5 or un 6", "+1 two 3", "999.one.2.3", "", "4111 1111 1111 one one 12"):
+        assert next(iter(pii.spans_of(pa.array([text])))) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["meet at example.com at noon", "one two three go", "un deux trois soleil", "a dot b", "at home (at) work", "zero one two three four", "Straße été niño at last"])
 def test_clean_texts_stay(text):
     assert next(iter(pii.spans_of(pa.array([text])))) == ([], [])
