@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
-One table of bit masks serves all languages: bit l of a slot belongs to the filter
-of language l, so one probe sequence answers for all of them.  The masks of an
+One table of bit masks serves all languages: bit l of a slot (in words of 64 bits)
+belongs to the filter of language l, so one probe sequence answers for all of them.  The masks of an
 n-gram's slots, ANDed, name every language that (as far as the filters tell) has
 it among its frequent n-grams.  For each text the hits of each language are
 counted, freed of the share that false positives explain, and the largest decides.
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """``masks``: a bit for each language in each slot; ``rates``: false-positive rate of each language."""
+    """``masks``: a bit for each language in each slot, in one column for each 64 languages; ``rates``: false-positive rate of each language."""
 
     languages: list[str]
     masks: np.ndarray
@@ -75,18 +76,19 @@ class Filters:
     @classmethod
     def build(cls, languages: list[str], sets: list[np.ndarray], default: int, bits: int = 21, probes: int = 3) -> Filters:
         size = 1 << bits
-        masks = np.zeros(size, np.uint8 if len(languages) <= 8 else np.uint64)
+        masks = np.zeros((size, -(-len(languages) // 64)), np.uint8 if len(languages) <= 8 else np.uint64)
         for k, keys in enumerate(sets):
             for slot in cls.slots(keys, size, probes):
-                masks[slot] |= masks.dtype.type(1 << k)
-        fill = np.array([np.count_nonzero(masks & masks.dtype.type(1 << k)) / size for k in range(len(languages))])
+                masks[slot, k // 64] |= masks.dtype.type(1 << k % 64)
+        fill = np.array([np.count_nonzero(masks[:, k // 64] & masks.dtype.type(1 << k % 64)) / size for k in range(len(languages))])
         return cls(languages, masks, fill**probes, default, probes)
 
     def languages_of(self, keys: np.ndarray) -> np.ndarray:
-        """Bit mask of all languages whose filter holds each n-gram."""
+        """Bit masks (one row each) of all languages whose filter holds each n-gram."""
         out = None
         for slot in self.slots(keys, len(self.masks), self.probes):
-            out = self.masks[slot] if out is None else out & self.masks[slot]
+            found = self.masks.take(slot, 0)
+            out = found if out is None else out & found
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -97,7 +99,7 @@ class Filters:
         found = self.languages_of(keys)
         hits = np.zeros((n, len(self.languages)))
         for k in range(len(self.languages)):
-            hits[:, k] = np.bincount(owner, (found >> found.dtype.type(k)) & found.dtype.type(1), n)
+            hits[:, k] = np.bincount(owner, (found[:, k // 64] >> found.dtype.type(k % 64)) & found.dtype.type(1), n)
         right = np.maximum(hits - counts[:, None] * self.rates, 0) / (1 - self.rates)
         best = right.argmax(1)
         top = right[np.arange(n), best]
@@ -111,23 +113,24 @@ class Filters:
         return names, score
 
 
-def train(docs: DataFrame, fold_: int = 4, held: int = 2, most_texts: int = 4000, least_share: float = 0.005, most_languages: int = 60) -> Filters | None:
+def train(docs: DataFrame, fold_: int = 4, held: int = 2, most_texts: int = 4000, least_share: float = 0.005) -> Filters | None:
     """Filters from ``docs(doc_id, text, lang)``; None without a labelled text.
 
     Only rows with crc32(doc_id as text) mod ``fold_`` other than ``held`` and a lang
     take part; ``most_texts`` bounds the texts of each language, in hash order.
     A filter holds the n-grams in ``least_share`` or more of its language's texts.
-    Beyond ``most_languages`` the languages with most rows count.
+    Every language with a labelled text gets a filter.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold_ != held))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
     ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    chosen = None
-    for name in languages:
+    large = sorted(r["lang"] for r in sizes if r["count"] > most_texts)
+    chosen = ids.where(~F.col("lang").isin(large)) if len(large) < len(languages) else None
+    for name in large:
         part = ids.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen.distinct().select("doc_id", F.col("lang").alias("of")))
@@ -146,14 +149,11 @@ def train(docs: DataFrame, fold_: int = 4, held: int = 2, most_texts: int = 4000
 
     counted = rows.mapInArrow(count, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
     number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cut = None
-    for name, n in number.items():
-        mine = (F.col("lang") == name) & (F.col("texts") >= max(1, least_share * n))
-        cut = mine if cut is None else cut | mine
-    table = counted.where("gram >= 0").where(cut).select("lang", "gram").toArrow()
-    names, all_grams = np.array(table.column("lang").to_pylist(), object), table.column("gram").to_numpy().astype(np.uint64)
+    least = F.broadcast(docs.sparkSession.createDataFrame([(name, float(max(1, least_share * n))) for name, n in number.items()], "lang string, least double"))
+    table = counted.where("gram >= 0").join(least, "lang").where("texts >= least").select("lang", "gram").toArrow()
+    of, all_grams = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy(), table.column("gram").to_numpy().astype(np.uint64)
     top = max(sizes, key=lambda r: (r["count"], r["lang"]))["lang"]
-    return Filters.build(languages, [np.sort(all_grams[names == name]) for name in languages], languages.index(top))
+    return Filters.build(languages, [np.sort(all_grams[of == k]) for k in range(len(languages))], languages.index(top))
 
 
 def identify(docs: DataFrame, fold_: int = 4, held: int = 2, **settings) -> DataFrame:

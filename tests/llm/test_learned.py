@@ -27,6 +27,18 @@ def test_filters_name_every_language():
         assert abs(((other >> np.uint8(k)) & 1).mean() - f.rates[k]) < 0.02
 
 
+def test_more_languages_than_one_word_of_bits(spark):
+    rng = np.random.default_rng(3)
+    syllables = [a + b for a in "bcdfghjklmnprst" for b in "aeiou"]
+    own = [["".join(rng.choice(syllables, 4)) for _ in range(30)] for _ in range(130)]
+    rows = [(i, " ".join(rng.choice(own[i % 130], 20)), f"l{i % 130:03}") for i in range(130 * 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most_texts in (4000, 11):  # 11: some languages have more texts, some fewer
+        got = langid.identify(docs, most_texts=most_texts).join(docs.select("doc_id", "lang"), "doc_id")
+        assert got.where("lang = lang_pred").count() >= 0.99 * len(rows)
+        assert got.where("held_out and lang = lang_pred").select("lang").distinct().count() == got.where("held_out").select("lang").distinct().count() > 100
+
+
 def test_grams_stay_inside_texts():
     raw = np.frombuffer(b"abcdeFGHIJ\xc3\x89xyz", np.uint8)
     keys, counts = langid.grams(raw, np.array([0, 5, 10, 15]))
