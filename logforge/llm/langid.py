@@ -57,6 +57,27 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[place], np.diff(np.searchsorted(place, at))
 
 
+def padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with two blanks on both sides, so that a single letter has an n-gram too."""
+    rows = np.arange(len(at))
+    out = np.full(len(raw) + 4 * (len(at) - 1), 0x20, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(4 * rows[:-1] + 2, np.diff(at))] = raw
+    return out, at + 4 * rows
+
+
+def known_grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of padded texts, and those that their words of one or two bytes have as texts of their own."""
+    keys, counts = grams(raw, at)
+    raw = fold(raw).astype(np.uint64)
+    space = raw == 0x20
+    one = np.flatnonzero(space[:-2] & ~space[1:-1] & space[2:]) + 1
+    two = np.flatnonzero(space[:-3] & ~space[1:-2] & ~space[2:-1] & space[3:]) + 1
+    mid, low = np.uint64(16), np.uint64(8)
+    keys = np.concatenate((keys, np.uint64(0x2020002020) | raw[one] << mid, np.uint64(0x2020000020) | raw[two] << mid | raw[two + 1] << low))
+    owner = np.concatenate((np.repeat(np.arange(len(counts)), counts), np.searchsorted(at, np.concatenate((one, two)), "right") - 1))
+    return keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(counts))
+
+
 @dataclass
 class Filters:
     """``masks``: a bit for each language in each slot, in one column for each 64 languages; ``rates``: false-positive rate of each language."""
@@ -93,7 +114,7 @@ class Filters:
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         raw, at = textbuf.buffer(column)
-        keys, counts = grams(raw, at)
+        keys, counts = grams(*padded(raw, at))
         n = len(counts)
         owner = np.repeat(np.arange(n), counts)
         found = self.languages_of(keys)
@@ -140,7 +161,7 @@ def train(docs: DataFrame, fold_: int = 4, held: int = 2, most_texts: int = 4000
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
                 names = np.array(batch.column("lang").to_pylist(), object)
-                keys, number = textbuf.unique_by_row(*grams(*textbuf.buffer(batch.column("text"))))
+                keys, number = textbuf.unique_by_row(*known_grams(*padded(*textbuf.buffer(batch.column("text")))))
                 owner = np.repeat(np.arange(len(number)), number)
                 for name in sorted(set(names)):
                     mine, seen = np.unique(keys[(names == name)[owner]], return_counts=True)
@@ -162,8 +183,8 @@ def identify(docs: DataFrame, fold_: int = 4, held: int = 2, **settings) -> Data
     Returns doc_id, held_out (crc32(doc_id as text) mod ``fold_`` is ``held``; null
     doc_id: false), lang_pred and score (0 to 1, the share of n-grams that the
     language explains).  A null text, or one without a letter, is ``und`` with
-    score 0, as is every text if no row has a lang; letters too few for an n-gram
-    give the most frequent language with score 0.  Other columns are ignored; an
+    score 0, as is every text if no row has a lang; letters of which
+    no filter holds an n-gram give the most frequent language with score 0.  Other columns are ignored; an
     empty table gives an empty result.
     """
     spark = docs.sparkSession

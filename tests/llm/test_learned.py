@@ -46,6 +46,17 @@ def test_grams_stay_inside_texts():
     assert int(keys[1]).to_bytes(5, "big") == b"fghij" and int(keys[2]).to_bytes(5, "big") == "éxyz".encode()
 
 
+def test_short_texts_are_decided():
+    texts = {"de": "und der, mit und ein", "en": "the of, and the a", "es": "los y, con los el", "fr": "une et, des une le"}
+    sets = [np.unique(langid.known_grams(*langid.padded(*langid.textbuf.buffer(pa.array([t]))))[0]) for t in texts.values()]
+    f = langid.Filters.build(list(texts), sets, 0)
+    names, score = f.predict(pa.array(["und", "the", "los", "une", "", "y", "le", "--", "a", None, "The", "el"]))
+    assert names == ["de", "en", "es", "fr", "und", "es", "fr", "und", "en", "und", "en", "es"]
+    assert [i for i, x in enumerate(score) if not x] == [4, 7, 9]
+    raw, at = langid.padded(np.frombuffer(b"abc", np.uint8), np.array([0, 1, 1, 3]))
+    assert raw.tobytes() == b"  a  " + b"    " + b"  bc  " and at.tolist() == [0, 5, 9, 15]
+
+
 def words(*names):
     column = pa.array([" ".join(names)])
     return toxicity.word_set(column)[0]
