@@ -42,6 +42,9 @@ _INSERT = re.compile(r"(?i)(?:^|\s)(?:comments|replies|ads|(?:comment|reply|ad|a
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _GOOD = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|main|post|story|entry|body|text)(?=$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^\"'>])*>", re.S)
+#: Ends of raw elements; ASCII letters of either case only, as in the tags.
+_RAW_END = {tag: re.compile(f"(?ai)</{tag}") for tag in RAW_TAGS}
+_BODY = re.compile("(?ai)<body")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"(?:\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -64,7 +67,6 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, frozenset]] = [("", 0, frozenset())]
     number, at, parts, linked, in_link = 0, 0, [], 0, 0
-    low = None
 
     def flush() -> None:
         nonlocal parts, linked
@@ -103,13 +105,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in RAW_TAGS:
             if not token.endswith("/>"):
-                if low is None:
-                    low = page.lower()
-                end = low.find(f"</{tag}", at)
+                end = m.start() if (m := _RAW_END[tag].search(page, at)) else -1
                 if tag == "head":  # an unclosed head ends with the body
-                    end = min((e for e in (end, low.find("<body", at)) if e >= 0), default=-1)
+                    body = m.start() if (m := _BODY.search(page, at)) else -1
+                    end = min((e for e in (end, body) if e >= 0), default=-1)
                 if tag in ("title", "head") or end >= 0:
-                    stop = low.find(">", end) if end >= 0 and low.startswith("</", end) else end - 1
+                    stop = page.find(">", end) if end >= 0 and page.startswith("</", end) else end - 1
                     at = stop + 1 if end >= 0 else (at if tag == "head" else len(page))
                 elif tag in ("script", "style"):
                     at = len(page)

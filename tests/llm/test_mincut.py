@@ -51,6 +51,12 @@ def test_boilerplate_of_many_kinds(page, text):
     assert mincut.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["script", "STYLE", "svg", "button"])
+def test_letters_that_grow_in_lower_case(tag):
+    page = f"<html><HEAD><title>İİİİ</title></Head><body><article><p>{LONG}</p><{tag}>İİ</{tag.swapcase()}><p>İşte {LONG}</p><{tag}>x</{tag}><p>Son.</p></article>"
+    assert mincut.main_text(page) == f"{LONG}\n\nİşte {LONG}\n\nSon."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>x", "</div></div>", "<p>" * 500, "<a href='>'>x</a>"])
 def test_broken_pages(page):
     assert isinstance(mincut.main_text(page), str)
