@@ -67,3 +67,30 @@ def test_mixed_rows_follow_the_plan(docs, odd, none):
     assert got == {i: n for i, n in copies.items() if n}
     assert mixing.mix(odd).count() == odd.count() and mixing.mixed(odd).columns == odd.columns
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_budget_ends_among_repeated_rows(spark):
+    rows = [(i, "w " * 10, "a") for i in range(300)] + [(1000 + i, "w " * 10, "b") for i in range(300)] + [(5000, "w " * 10, "c")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == 900
+    for low, high in ((0, 1000), (1000, 5000), (5000, 6000)):
+        mine = [r for r in got if low <= r["doc_id"] < high]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 5 and max(r["taken"] for r in mine) <= 20
+    assert mixing.mixed(df).where("source = 'c'").count() == sum(r["copies"] for r in got if r["doc_id"] == 5000)
+
+
+@pytest.mark.parametrize("quality", ["1000.0", "1e-3 + doc_id % 7 * 100", "if(doc_id % 3 = 0, null, 'NaN')"])
+def test_any_scale_of_weights(docs, monkeypatch, quality):
+    monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", 10)
+    weighed = docs.selectExpr("*", f"cast({quality} as double) as q")
+    out = mixing.mix(weighed, quality="q").collect()
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    taken, target = {}, {}
+    for r in out:
+        s = source[r["doc_id"]]
+        taken[s], target[s] = taken.get(s, 0) + r["taken"], r["target"]
+    assert all(abs(taken[s] - target[s]) <= 40 for s in taken)
+    drawn, goal, number, _ = mixing.plan(weighed, quality="q")
+    ends = mixing._planned(drawn, goal, number).where("bin = end_bin and bucket = end_bucket").groupBy("source").count().collect()
+    assert max(r["count"] for r in ends) < 60
