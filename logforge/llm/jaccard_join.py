@@ -3,10 +3,11 @@
 Plan
     1. One Arrow pass hashes the word shingles of each whole text, and gives a
        128-bit digest of the shingle set and one hash for each band.
-    2. Texts with equal sets form one copy class; only its representative goes on.
+    2. Texts with equal sets form one copy class, a node; only its representative goes on,
+       named by its doc_id and a hash of its text, as rows may share or lack a doc_id.
     3. A shuffle on band hashes finds buckets of two classes or more.
     4. Candidates are dealt to blocks of bounded rows and bytes: the block key
-       is the least representative met in any bucket, and a large key is split
+       is the least node met in any bucket, and a large key is split
        by a hash.  Two blocks are compared only if some bucket spans them.
     5. Each block pair is one group: full shingle sets meet in a blocked matrix
        product that counts every intersection.  It returns link counts and
@@ -80,12 +81,13 @@ def _signer(n: int, bands: int, rows: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("h"),
                         pa.array(digest[0].view(np.int64), mask=none),
                         pa.array(digest[1].view(np.int64), mask=none),
                         pa.array((np.diff(textbuf.buffer(batch.column("text"))[1])).astype(np.int64)),
                         pa.ListArray.from_arrays(width, pa.array(keys.view(np.int64).reshape(-1))),
                     ],
-                    ["doc_id", "d1", "d2", "n_bytes", "bands"],
+                    ["doc_id", "h", "d1", "d2", "n_bytes", "bands"],
                 )
 
     return sign
@@ -112,12 +114,12 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 
 def _verifier(n: int, threshold: float):
-    schema = pa.schema([("rep", pa.int64()), ("low", pa.int64()), ("texts", pa.int64()), ("documents", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("low", pa.int64()), ("texts", pa.int64()), ("documents", pa.int64())])
     over, under = (threshold * 1000).__round__(), 1000
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rep", "ascending"), ("text", "ascending")])
-        rep = table.column("rep").to_numpy()
+        table = table.sort_by([("node", "ascending"), ("text", "ascending")])
+        rep = table.column("node").to_numpy()
         keep = np.ones(len(rep), bool)
         keep[1:] = rep[1:] != rep[:-1]
         table, rep = table.filter(pa.array(keep)), rep[keep]
@@ -156,42 +158,32 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block_rows: int = 256, block_bytes: int = 4 << 20, seed: int = 17) -> DataFrame:
-    """Near-duplicate self-join of ``docs(doc_id, text)`` on shingles of ``n`` words.
-
-    Returns one row for each input row: ``doc_id``; ``class_id``, the least
-    doc_id of its group of texts connected by links of ``threshold`` or more;
-    ``copy_id``, the least doc_id with the same shingle set; ``n_links``, other
-    documents it links to, copies counted; ``n_text_links``, other shingle sets.
-
-    Words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than ``n`` words has one
-    shingle.  Null and empty texts have no shingles: they are alone in their
-    class, as are rows without doc_id (whose ids are null).  Rows that share a
-    doc_id are one node; repeated rows count as documents in ``n_links``.  Other
-    columns are ignored.  An empty table gives an empty result.
-    """
+def _joined(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block_rows: int = 256, block_bytes: int = 4 << 20, seed: int = 17) -> DataFrame:
+    """doc_id and h (hash of the text) of every row, with group (a number), class_id, copy_id, texts, documents, and the row of its group that stands for it."""
     spark = docs.sparkSession
     ship(spark)
     where = folder(spark)
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = save(source.mapInArrow(_signer(n, bands, rows, seed), "doc_id long, d1 long, d2 long, n_bytes long, bands array<long>"), where, "signed")
+    source = source.withColumn("h", F.xxhash64("text"))
+    signed = save(source.mapInArrow(_signer(n, bands, rows, seed), "doc_id long, h long, d1 long, d2 long, n_bytes long, bands array<long>"), where, "signed")
 
-    first = F.min(F.struct("doc_id", "bands", "n_bytes")).alias("one")
-    sets = signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("copies"))
-    sets = save(sets.select("d1", "d2", "copies", F.col("one.doc_id").alias("rep"), F.col("one.bands").alias("bands"), F.col("one.n_bytes").alias("n_bytes")), where, "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "bands", "n_bytes")).alias("one")
+    sets = signed.where("d1 is not null").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("copies"))
+    # written with its node numbers, which never change after that
+    sets = save(sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "copies", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("h"), F.col("one.bands").alias("bands"), F.col("one.n_bytes").alias("n_bytes")), where, "sets")
 
-    banded = sets.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band", "lo")
+    banded = sets.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "lo")
     members = save(banded.join(buckets, "band"), where, "members")
 
-    lead = members.groupBy("rep").agg(F.min("lo").alias("lead"))
-    lead = sets.select("rep", "copies", "n_bytes").join(lead, "rep")
+    lead = members.groupBy("node").agg(F.min("lo").alias("lead"))
+    lead = sets.select("node", "rep", "h", "copies", "n_bytes").join(lead, "node")
     parts = lead.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n_bytes") / block_bytes)).alias("parts"))
-    dealt = lead.join(parts, "lead").select("rep", "copies", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+    dealt = lead.join(parts, "lead").select("node", "rep", "h", "copies", F.xxhash64("lead", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
     dealt = save(dealt, where, "dealt")
 
-    spans = members.join(dealt, "rep").select("band", "block").distinct()
+    spans = members.join(dealt, "node").select("band", "block").distinct()
     wide = spans.groupBy("band").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select("band")
     spans = spans.join(wide, "band")
     cross = spans.select("band", F.col("block").alias("a")).join(spans.select("band", F.col("block").alias("b")), "band").where("a < b").select("a", "b").distinct()
@@ -199,42 +191,76 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     units = cross.unionByName(inner).withColumn("unit", F.xxhash64("a", "b"))
     sides = save(units.select("unit", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(units.where("a <> b").select("unit", F.col("b").alias("block"), F.lit(1).alias("side"))), where, "units")
 
-    chosen = dealt.select(F.col("rep").alias("doc_id"), F.col("rep"), "copies", "block")
-    if dealt.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    texts = source.join(chosen, "doc_id").select("rep", "copies", "block", "text")
-    verified = texts.join(sides, "block").select("unit", "side", "rep", "copies", "text")
-    links = save(verified.groupBy("unit").applyInArrow(_verifier(n, threshold), "rep long, low long, texts long, documents long"), where, "links")
-
-    groups = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")), where)
-    counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    known = sets.select("d1", "d2", "rep", "copies").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("d1", "d2", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("texts", F.lit(0)).alias("texts"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("documents"))
-    named = signed.withColumn("d1", F.when(F.col("doc_id").isNotNull(), F.col("d1")))
-    return named.join(known, ["d1", "d2"], "left").select(
+    few = dealt.count() <= BROADCAST_ROWS
+    chosen = lambda rows: F.broadcast(rows) if few else rows
+    named = dealt.where("rep is not null").select(F.col("rep").alias("doc_id"), "h", "node", "copies", "block")
+    texts = source.where("doc_id is not null").join(chosen(named), ["doc_id", "h"]).select("node", "copies", "block", "text")
+    # of rows without doc_id, which may be many of one text, one of each text goes on
+    bare = source.where("doc_id is null").groupBy("h").agg(F.min("text").alias("text"))
+    texts = texts.unionByName(bare.join(chosen(dealt.where("rep is null").select("h", "node", "copies", "block")), "h").select("node", "copies", "block", "text"))
+    verified = texts.join(sides, "block").select("unit", "side", "node", "copies", "text")
+    links = save(verified.groupBy("unit").applyInArrow(_verifier(n, threshold), "node long, low long, texts long, documents long"), where, "links")
+
+    groups = components(links.select(F.col("node").alias("a"), F.col("low").alias("b")), where)
+    counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
+    known = sets.select("d1", "d2", "node", "rep", "h", "copies").join(counts, "node", "left").join(groups, "node", "left")
+    known = known.withColumn("group", F.coalesce("component", "node"))
+    stands = known.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), F.col("rep"), F.col("h"))).alias("kept"))
+    known = known.join(stands, "group").select(
+        "d1", "d2", "group", F.col("kept.rep").alias("class_id"), F.col("rep").alias("copy_id"), F.struct(F.col("kept.rep").alias("doc_id"), F.col("kept.h").alias("h")).alias("kept"),
+        F.coalesce("texts", F.lit(0)).alias("texts"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("documents"),
+    )
+    return signed.select("doc_id", "h", "d1", "d2").join(known, ["d1", "d2"], "left").drop("d1", "d2")
+
+
+def jaccard_join(docs: DataFrame, **settings) -> DataFrame:
+    """Near-duplicate self-join of ``docs(doc_id, text)`` on shingles of ``n`` words.
+
+    Settings: ``threshold`` (0.8), ``n`` (5), ``recall`` of the bands at the
+    threshold (0.9999), ``block_rows`` and ``block_bytes`` of a verified block, ``seed``.
+
+    Returns one row for each input row: ``doc_id``; ``class_id``, the least
+    doc_id of its group of texts connected by links of ``threshold`` or more;
+    ``copy_id``, the least doc_id with the same shingle set; ``n_links``, other
+    rows it links to, copies counted; ``n_text_links``, other shingle sets.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer than ``n`` words has one
+    shingle.  A similarity of exactly ``threshold`` is a link.  Null and empty texts have
+    no shingles: they are alone in their class.  Every row counts by its own text, whether
+    or not others share its doc_id; rows without doc_id link as others do, and where
+    a whole group has none its class_id is null.  Texts of any length are compared as a
+    whole; one above ``block_bytes`` makes a block of its own.  Other columns are
+    ignored.  An empty table gives an empty result.
+    """
+    return _joined(docs, **settings).select(
         "doc_id",
-        F.coalesce("class", "doc_id").alias("class_id"),
-        F.coalesce("rep", "doc_id").alias("copy_id"),
+        F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("documents", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("texts", F.lit(0).cast("long")).alias("n_text_links"),
     )
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the least doc_id stays, with all its columns.
+    """``docs`` without near copies: of each group one row stays, with all its columns: that of the least doc_id, then of the least hash of its text.
 
-    Rows without doc_id, and null or empty texts, all stay.  Of rows that share a
-    doc_id one stays, unless their texts are empty.
+    Null and empty texts all stay.  Rows without doc_id stay only where no row of
+    their group has one.  Of repeated rows one stays.  Ties, long texts, clashing
+    columns and empty tables as in ``jaccard_join``.
     """
     spark = docs.sparkSession
-    found = save(jaccard_join(docs, **settings), folder(spark), "joined")
-    gone = found.where("doc_id is not null and class_id <> doc_id").select("doc_id").distinct()
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
+    found = save(_joined(docs, **settings).where("group is not null").select("doc_id", "h", "group", "kept"), folder(spark), "joined")
+    row = F.struct("doc_id", "h")
+    gone = found.where(~row.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    twice = found.where(row.eqNullSafe(F.col("kept"))).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("twice_id"), F.col("h").alias("twice_h"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    id_, h = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    kept = docs.join(gone, id_.eqNullSafe(F.col("gone_id")) & (h == F.col("gone_h")), "left_anti")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.where(blank)).unionByName(again.where(~blank).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    again = id_.eqNullSafe(F.col("twice_id")) & (h == F.col("twice_h"))
+    # one of each: rows that repeat as a whole are counted, of others (in columns beside doc_id and text) the least hash counts
+    repeated = kept.join(twice, again, "left_semi").select(F.struct(*docs.columns).alias("_row"), id_.alias("_id"), h.alias("_h"))
+    repeated = repeated.groupBy("_id", "_h").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return kept.join(twice, again, "left_anti").select(*docs.columns).unionByName(repeated.select("_row.*"))

@@ -58,6 +58,7 @@ def test_odd_rows(odd, none):
     got = jaccard_join(odd).collect()
     assert len(got) == odd.count()
     assert {x["class_id"] for x in got if x["doc_id"] in (1, 2, 3)} == {1, 2, 3}
+    assert [x["n_links"] for x in got if x["doc_id"] == 4] == [1, 1]
     assert jaccard_join(none).collect() == []
 
 
@@ -69,3 +70,15 @@ def test_keep_one(spark, odd, none):
     assert keep_one(none).count() == 0
     rows = [(5, "a b c d e f"), (2, "a b c d e f"), (9, "other words here now yes"), (3, None), (4, None)]
     assert sorted(x["doc_id"] for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [2, 3, 4, 9]
+
+
+def test_shared_and_missing_ids(spark):
+    r = random.Random(8)
+    a, b, c = ([f"{k}{r.randint(0, 9999)}" for _ in range(60)] for k in "xyz")
+    a, b, c = " ".join(a), " ".join(b), " ".join(c)
+    rows = [(5, a), (5, b), (7, b + " one"), (None, c), (None, c), (None, c + " one"), (8, a + " two"), (8, a + " two"), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = sorted((x["doc_id"] or 0, x["class_id"] or 0, x["n_links"], x["n_text_links"]) for x in jaccard_join(df).collect())
+    assert links == sorted([(5, 5, 2, 1), (8, 5, 2, 1), (8, 5, 2, 1), (5, 5, 2, 1), (7, 5, 2, 1), (0, 5, 2, 1), (0, 0, 2, 1), (0, 0, 2, 1), (0, 0, 2, 1)])
+    kept = sorted((x["doc_id"] or 0, x["text"][0]) for x in keep_one(df).collect())
+    assert kept == [(0, "z"), (5, "x"), (5, "y")]
