@@ -52,8 +52,9 @@ LOOKALIKES |= dict.fromkeys("​‌‍⁠﻿­", "\0")
 
 _AT_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+# a run of digits is tried from its start alone, and given back by no rule
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 
@@ -97,22 +98,32 @@ class Tape:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.first = list(range(len(text)))
-        self.past = list(range(1, len(text) + 1))
-        self.made = [False] * len(text)
+        self.first = np.arange(len(text))
+        self.past = self.first + 1
+        self.made = np.zeros(len(text), bool)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans (ascending, disjoint) of the present text; every new character stands for its whole span."""
         if not edits:
             return
-        text, first, past, made, at = [], [], [], [], 0
-        for a, b, new in edits:
+        text, at, size = [], 0, 0
+        source = np.zeros(len(self.text) + sum(len(e[2]) for e in edits), np.int64)  # for each new character the old one, or -1 - the edit
+        for k, (a, b, new) in enumerate(edits):
             text += [self.text[at:a], new]
-            lo, hi = self.first[a], self.past[b - 1]
-            for have, more in ((first, [lo] * len(new)), (past, [hi] * len(new)), (made, [True] * len(new))):
-                have += {id(first): self.first, id(past): self.past, id(made): self.made}[id(have)][at:a] + more
-            at = b
-        self.first, self.past, self.made = first + self.first[at:], past + self.past[at:], made + self.made[at:]
+            source[size : size + a - at] = np.arange(at, a)
+            size += a - at
+            source[size : size + len(new)] = -1 - k
+            size, at = size + len(new), b
+        rest = len(self.text) - at
+        source[size : size + rest] = np.arange(at, len(self.text))
+        source = source[: size + rest]
+        old, edit = np.maximum(source, 0), np.maximum(-1 - source, 0)
+        begin, end = (np.array([e[i] for e in edits])[edit] for i in (0, 1))
+        made = source < 0
+        top = len(self.first) - 1
+        self.first = np.where(made, self.first[np.minimum(begin, top)], self.first[np.minimum(old, top)])
+        self.past = np.where(made, self.past[end - 1], self.past[np.minimum(old, top)])
+        self.made = made | self.made[np.minimum(old, top)]
         self.text = "".join(text) + self.text[at:]
 
 
@@ -127,8 +138,10 @@ _ITEM = re.compile(rf"(?i)(?<![^\W\d_])(?:({_DIGIT})|({_PLUS}))(?![^\W\d_])|[0-9
 #: What the phone and IP rules allow between digits.
 _BETWEEN = re.compile(r"[ \t().-]*")
 _BLANK = re.compile(r"(?<=[0-9])[ \t-]+(?=[0-9])|(?<=\+)[ \t]+(?=[0-9])")
-_BRACKET_AT = re.compile(rf"(?i)\s*{_OPEN}(?:{_AT}|@){_CLOSE}\s*")
-_BRACKET_DOT = re.compile(rf"(?i)\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*")
+#: White space is taken from its start alone, as a whole.
+_SPACES = r"(?:(?<!\s)\s++)?+"
+_BRACKET_AT = re.compile(rf"(?i){_SPACES}{_OPEN}(?:{_AT}|@){_CLOSE}\s*")
+_BRACKET_DOT = re.compile(rf"(?i){_SPACES}{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*")
 _WORD_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{_DOT})\s+(?=[A-Za-z0-9])")
 #: " at " needs a spelled dot after the next word.
 _WORD_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+(?:\s+(?:{_DOT})\s+|\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*)[A-Za-z0-9])")
@@ -184,9 +197,9 @@ def deobfuscate(text: str) -> list[Tape]:
         # a removed character belongs to none; letters around it count as rewritten
         tape.rewrite(edits)
         if any(not e[2] for e in edits):
-            for i in range(len(tape.text) - 1):
-                if tape.past[i] != tape.first[i + 1]:
-                    tape.made[i] = tape.made[i + 1] = True
+            gap = tape.past[:-1] != tape.first[1:]
+            tape.made[:-1] |= gap
+            tape.made[1:] |= gap
     for rule, new in ((_WORD_AT, "@"), (_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_WORD_DOT, ".")):
         tape.rewrite([(m.start(), m.end(), new) for m in rule.finditer(tape.text)])
     out = [tape]
@@ -202,11 +215,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, kind, end) in source characters of what only the rewritten text shows."""
     have, out = set(base), set()
     for tape in deobfuscate(text):
-        if not any(tape.made):
+        if not tape.made.any():
             continue
         for start, kind, end in base_spans(tape.text):
-            if any(tape.made[start:end]):
-                span = (tape.first[start], kind, tape.past[end - 1])
+            if tape.made[start:end].any():
+                span = (int(tape.first[start]), kind, int(tape.past[end - 1]))
                 if span not in have:
                     out.add(span)
     return sorted(out)
@@ -282,7 +295,8 @@ def find(docs: DataFrame) -> DataFrame:
     Returns doc_id and spans: structs of start and end (code points, end
     exclusive), kind (index in KINDS) and added, sorted by start, kind, end.  A
     null text counts as empty and has no spans.  Every row is treated by itself,
-    repeated ones too.  Other columns are ignored; an empty table gives an empty
+    repeated ones too.  Texts of any length are read as a whole, in time in proportion
+    to them.  Other columns are ignored; an empty table gives an empty
     result.
     """
     ship(docs.sparkSession)
@@ -326,7 +340,12 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars`` (if there) set to the new length.  All rows and columns stay."""
+    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars`` (if there) set to the new length.
+
+    All rows (repeated ones too) and columns stay; a null or empty text stays as it
+    is; texts of any length are read as a whole; of spans that overlap the first
+    names the run; an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -32,6 +33,21 @@ def test_base_rules(t):
     assert next(iter(pii.spans_of(pa.array([t]))))[0] == brute(t)
 
 
+@given(st.lists(st.sampled_from([*"aé5.+@ -(", "FÜNF ", "fünf", "ÄT ", " At ", "[at]", "(ÄT)", " dot ", "{Punkt}", "one ", "SİX ", "ſeven ", "\u212a", "４", "о", "Plus ", "más ", "MÁS ", "zéro ", "12 dot 3", "\u200b"]), max_size=30).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_prefilter_hides_nothing(t):
+    base = pii.base_spans(t)
+    assert list(pii.spans_of(pa.array(["x", t, None])))[1] == (base, pii.added_spans(t, base))
+
+
+@pytest.mark.parametrize("part", ["5", " ", "1.", "1.1.1.1", "(", "( ", " (at) ", "one ", "one.", "@", "a@", "+1", "+1 ", "plus ", "at ", " dot ", "５", "\u200b"])
+def test_long_texts_take_linear_time(part):
+    text = f"a{part * (300_000 // len(part))} five 5 [at] x"
+    start = time.perf_counter()
+    list(pii.spans_of(pa.array([text])))
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "source"),
     [
