@@ -27,6 +27,8 @@ from . import textbuf
 from .storage import ship
 
 MARK = "▁"
+#: A worker keeps the ids of words it has met; beyond so many words, or ids of all of them together, it starts anew.
+CACHE_WORDS, CACHE_IDS = 100_000, 1 << 20
 _NEVER = np.int64(1 << 40)
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -220,7 +222,7 @@ class Model:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, with begin and end ids, and the number of each text's ids."""
-        if len(self._seen) > 100_000:
+        if len(self._seen) > CACHE_WORDS or len(self._flat) > CACHE_IDS:
             self._reset()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
@@ -300,7 +302,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     Returns for each row: doc_id; n_tokens; ids, packed little-endian unsigned
     32-bit integers, begin and end ids included; decoded, the text of these ids.
     A null text counts as empty: its ids are begin and end, its decoded text is
-    empty.  Other columns are ignored; an empty table gives an empty result.
+    empty.  Texts and words of any length are encoded as a whole.  Repeated rows give equal rows.  Other columns are ignored; an empty table gives an empty result.
 
     ``model_path`` is read by the driver; the executors get the model's bytes.
     """
