@@ -3,7 +3,7 @@
 PCM audio becomes pitch-class frames (windowed spectra folded on twelve classes).
 Sixteen filters compare rectangles of the time-pitch image, summed by an integral
 image; each gives two bits, so every frame position packs into one 32-bit integer.
-Two recordings align where the histogram of offsets between equal integers peaks,
+Two recordings align where the histogram of offsets between equal halves of integers peaks,
 if the bit errors over the whole overlap at that offset are few.
 """
 
@@ -29,6 +29,10 @@ FILTERS = tuple(((k % 4) * 2, 4 + 2 * (k // 8), (5 * k) % 12 // 2, 2 + k % 3, k
 #: Steps between the four levels of a filter's log ratio; the code of a level has one changed bit from level to level.
 LEVELS = np.array([-0.35, 0.0, 0.35])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: Code of a window without sound: no filter tells its two sides apart.
+SILENT = np.uint32(0x55555555)
+#: Votes counted at a time.
+VOTES = 1 << 20
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -114,7 +118,10 @@ def fingerprint_media(media: list[bytes | None]) -> list[np.ndarray]:
 
 
 def fingerprint(media: DataFrame) -> DataFrame:
-    """id and codes (packed little-endian unsigned 32-bit integers) of ``media(id, audio)``; null, other formats and clips below a window have no codes."""
+    """id and codes (packed little-endian unsigned 32-bit integers) of ``media(id, audio)``, one row for each; null, other formats and clips below a window have no codes.
+
+    Repeated rows give equal rows; other columns are ignored; an empty table gives an empty result.
+    """
     ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +169,9 @@ def align_all(q_code: np.ndarray, q_start: np.ndarray, q_size: np.ndarray, d_cod
 def match_block(queries: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]], least_hits: int = 3, most_error: float = 0.2, least_overlap: int = 16, tries: int | None = None) -> list[tuple[int, int, int, int, int, float]]:
     """(query, other, offset, hits, overlap, bit_error) of the recordings that align.
 
-    Equal codes vote for an offset.  All offsets of each pair that have
+    Equal halves of codes vote for an offset (hits counts them), but those of silence, which tell nothing.  All offsets of each pair that have
     ``least_hits`` votes are tested (with ``tries`` only so many, the fullest),
-    and the one of least error counts.
+    and the one of least error counts (of equal errors the least offset).
     """
     q_code = np.concatenate([c for _, c in queries]) if queries else np.zeros(0, np.uint32)
     d_code = np.concatenate([c for _, c in others]) if others else np.zeros(0, np.uint32)
@@ -172,23 +179,38 @@ def match_block(queries: list[tuple[int, np.ndarray]], others: list[tuple[int, n
         return []
     q_size, d_size = (np.array([len(c) for _, c in side], np.int64) for side in (queries, others))
     q_start, d_start = np.cumsum(q_size) - q_size, np.cumsum(d_size) - d_size
-    q_own, d_own = (np.repeat(np.arange(len(size)), size) for size in (q_size, d_size))
-    q_at, d_at = np.arange(len(q_code)) - q_start[q_own], np.arange(len(d_code)) - d_start[d_own]
-    order = np.argsort(q_code, kind="stable")
-    low, high = np.searchsorted(q_code[order], d_code, "left"), np.searchsorted(q_code[order], d_code, "right")
+    # each code votes by its two halves, so that a few wrong bits leave one of them whole
+    half = lambda c: np.stack([c & np.uint32(0xFFFF), c >> np.uint32(16) | np.uint32(0x10000)], 1).reshape(-1)
+    q_key, d_key = half(q_code), half(d_code)
+    q_own, d_own = (np.repeat(np.arange(len(size)), 2 * size) for size in (q_size, d_size))
+    q_at, d_at = np.arange(len(q_key)) // 2 - q_start[q_own], np.arange(len(d_key)) // 2 - d_start[d_own]
+    sound = np.flatnonzero(np.repeat(q_code != SILENT, 2))
+    order = sound[np.argsort(q_key[sound], kind="stable")]
+    low, high = np.searchsorted(q_key[order], d_key, "left"), np.searchsorted(q_key[order], d_key, "right")
+    high = np.where(np.repeat(d_code == SILENT, 2), low, high)
     out = []
-    # recordings one run at a time, so that frequent codes make no larger array
+    # whole recordings for each test of offsets; a recording of many votes is counted in parts
     total = np.cumsum(high - low)
-    runs = np.searchsorted(total, np.arange(0, total[-1], 1 << 20), "left") if len(total) and total[-1] else []
-    cuts = sorted({0, len(d_code), *(np.searchsorted(d_own, d_own[r]) for r in runs)})
+    runs = np.searchsorted(total, np.arange(0, total[-1], VOTES), "left") if len(total) and total[-1] else []
+    cuts = sorted({0, len(d_key), *(np.searchsorted(d_own, d_own[r]) for r in runs)})
     for a, b in zip(cuts, cuts[1:], strict=False):
-        number = high[a:b] - low[a:b]
-        d = np.repeat(np.arange(a, b), number)
-        at = order[np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low[a:b], number)]
-        key = np.stack([q_own[at], d_own[d], d_at[d] - q_at[at]])
-        if not key.shape[1]:
+        found, hits = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+        before = total[a] - (high[a] - low[a])
+        parts = [a, *(a + np.unique(np.searchsorted(total[a:b] - before, np.arange(VOTES, total[b - 1] - before, VOTES), "right"))).tolist(), b]
+        for lo, hi in zip(parts, parts[1:], strict=False):
+            number = high[lo:hi] - low[lo:hi]
+            if not number.sum():
+                continue
+            d = np.repeat(np.arange(lo, hi), number)
+            at = order[np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low[lo:hi], number)]
+            key, count = np.unique(np.stack([q_own[at], d_own[d], d_at[d] - q_at[at]]), axis=1, return_counts=True)
+            if not len(hits):
+                found, hits = key, count
+            else:
+                found, place = np.unique(np.concatenate((found, key), axis=1), axis=1, return_inverse=True)
+                hits = np.bincount(place.reshape(-1), np.concatenate((hits, count)), found.shape[1]).astype(np.int64)
+        if not len(hits):
             continue
-        found, hits = np.unique(key, axis=1, return_counts=True)
         (q, o, offset), hits = found[:, hits >= least_hits], hits[hits >= least_hits]
         if tries is not None:
             fullest = np.lexsort((offset, -hits, o, q))
@@ -211,12 +233,16 @@ _MATCH = "query long, class_id long, offset int, hits int, overlap int, bit_erro
 def search(fingerprints: DataFrame, query_every: int = 100) -> DataFrame:
     """Align every recording whose id is a multiple of ``query_every`` with all recordings.
 
-    ``fingerprints(id, codes)`` gives one row for each input row: id; class_id, the
-    least id with equal codes; n_codes; is_query; matches, for queries: structs of
-    the classes that align, sorted.  Copies share a class and are searched once; a
-    class always matches itself, unless it has too few codes.  Recordings without
-    codes are their own class.  Queries are taken in blocks of ``QUERY_BLOCK``; each block
-    scans all classes once, and nothing else is held.
+    ``fingerprints(id, codes)`` gives a row for each recording: id; class_id, the
+    least id with equal codes; n_codes; is_query; n_matches, for queries; and null in the other columns.
+    Copies share a class and are searched once: for a class with a query the rows
+    of its least id have match_class, offset, hits, overlap and bit_error instead,
+    one row for each class that aligns.  A class always matches itself, unless it
+    has too few codes or is silent.  Recordings without codes are their own class; a
+    null id is no query.  Recordings of any length are compared as a whole; other columns
+    are ignored; an empty table gives an empty result.  Queries
+    are taken in blocks of ``QUERY_BLOCK``; each block scans all classes once, and
+    nothing else is held.
     """
     spark = fingerprints.sparkSession
     ship(spark)
@@ -248,19 +274,19 @@ def search(fingerprints: DataFrame, query_every: int = 100) -> DataFrame:
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
     out = keyed.join(classes.select("key", "class_id"), "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), (F.length("codes") / 4).cast("int").alias("n_codes"), asks.alias("is_query"))
-    kind = "array<struct<class_id: bigint, offset: int, hits: int, overlap: int, bit_error: double>>"
     if found is None:
-        return out.withColumn("matches", F.lit(None).cast(kind))
-    listed = found.groupBy(F.col("query").alias("of")).agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "hits", "overlap", "bit_error"))).alias("matches"))
-    queries = out.where("is_query").join(listed, F.col("class_id") == F.col("of"), "left").drop("of")
-    return out.where("not is_query").withColumn("matches", F.lit(None).cast(kind)).unionByName(queries)
+        found = spark.createDataFrame([], _MATCH)
+    pairs = found.select(F.col("query").alias("of"), F.col("class_id").alias("match_class"), "offset", "hits", "overlap", "bit_error")
+    counts = pairs.groupBy(F.col("of").alias("counted")).agg(F.count(F.lit(1)).alias("n"))
+    out = out.join(counts, F.col("class_id") == F.col("counted"), "left").withColumn("n_matches", F.when(F.col("is_query"), F.coalesce("n", F.lit(0)))).drop("counted", "n")
+    return out.join(pairs, (F.col("id") == F.col("of")) & (F.col("id") == F.col("class_id")), "left").drop("of")
 
 
 def sonify(vectors: DataFrame, note: int = 128) -> DataFrame:
     """A media column for ``vectors(vec_id, embedding)``, which have none: each number plays a note of ``note`` samples.
 
     Returns id and audio (RIFF).  The note's pitch is the number's place among 36
-    semitones from 110 Hz, its loudness is even.  A null or empty vector is silence.
+    semitones from 110 Hz, its loudness is even.  A null or empty vector is silence.  Repeated rows give equal rows.
     """
     ship(vectors.sparkSession)
 
