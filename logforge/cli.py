@@ -48,6 +48,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(commands.partition_of(spark, options["id"], options["num_partitions"]))
         return 0
     files = options.pop("files")
+    if command == "segment":
+        for row in commands.unknown_paths(spark, files).toLocalIterator():
+            print(f"{row['file_name']}: {row['message']}", file=sys.stderr)
     try:
         lines = commands.run(spark, (command, action), files, **options)
     except ValueError as e:

@@ -49,6 +49,7 @@ STATE = r" key: transaction_metadata::transactionalId=(.*) payload: (.*)"
 STATES = ("Ongoing", "PrepareCommit", "PrepareAbort", "CompleteCommit", "CompleteAbort", "Empty", "Dead")
 STATE_PAYLOAD = r"\AproducerId:([0-9]+),producerEpoch:([0-9]+),state=(" + "|".join(STATES) + r"),partitions=\[(.*)\],txnLastUpdateTimestamp=([0-9]+),txnTimeoutMs=([0-9]+)\z"
 DELETED = "<DELETE>"
+NONE = "None"
 
 SNAPSHOT = (
     ("producerId", "producer_id", "[0-9]+", "bigint"),
@@ -63,7 +64,7 @@ SNAPSHOT = (
     ("timestamp", "timestamp", "[0-9]+", "bigint"),
 )
 
-#: State changes: the states that may come before each state.
+# State changes; the states that may come before each state.
 PREVIOUS_STATES = {
     "Ongoing": ("Ongoing", "CompleteAbort", "CompleteCommit", "Empty"),
     "PrepareCommit": ("Ongoing",),
@@ -120,10 +121,17 @@ def typed(parsed: Column, spec, at: int = 1) -> list[Column]:
         if kind == "unsigned":
             value = signed32(raw.try_cast("bigint"))
         elif kind == "option":
-            value = F.coalesce(F.regexp_extract(raw, "([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+            value = F.when(raw.isNull() | (raw == NONE), F.lit(0).cast("bigint")).otherwise(F.regexp_extract(raw, "([0-9]+)", 1).try_cast("bigint"))
         elif kind == "string":
             value = raw
         else:
             value = raw.try_cast(kind)
         out.append(value.alias(name))
     return out
+
+
+def bad_number(parsed: Column, spec, at: int = 1) -> Column:
+    """The first group that is a number its type cannot hold, as text; null if there is none."""
+    digits = lambda raw, kind: F.regexp_extract(raw, "([0-9]+)", 1) if kind == "option" else raw
+    numbers = [(digits(F.get(parsed, F.lit(at + i)), kind), value) for i, ((_, _, _, kind), value) in enumerate(zip(spec, typed(parsed, spec, at), strict=True)) if kind not in ("string", "boolean")]
+    return F.coalesce(*[F.when((F.coalesce(raw, F.lit("")) != "") & value.isNull(), raw) for raw, value in numbers])

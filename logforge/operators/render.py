@@ -106,12 +106,35 @@ def abort_lines(states: DataFrame, only_open: bool = False) -> DataFrame:
     return rows.select("file_ord", "line", F.format_string(ABORT, "producer_id", "producer_epoch", "coordinator_epoch").alias("line_out")).orderBy("file_ord", "line")
 
 
+# Names in the text of a whole result.
+INFO = ("SegmentInfo[openTransactions={", "}, firstBatch=", ", lastBatch=", ", emptyTransactions=[", "], committed=", ", aborted=", ", txnSizeStats=", ", txnDurationStats=", "]")
+
+
+def info_text(rest: DataFrame, totals: DataFrame, ends: DataFrame) -> DataFrame:
+    """The whole result as one text, info_out: of the located empty and open transactions, the totals, and the first and last batch.
+
+    It names every such transaction, so it is for results that a reader can hold.
+    """
+    stats = lambda n: int_statistics(*[F.col(f"{n}_{k}") for k in ("count", "sum", "min", "avg", "max")])
+    is_empty = F.col("status") == "EMPTY"
+    empty = F.concat(F.lit("EmptyTransaction[closingBatch="), batch_text(_of("closing_batch")), F.lit(", controlMessage="), control_text(F.col("marker")), F.lit("]"))
+    session = F.format_string("ProducerSession[producerId=%d, producerEpoch=%d]=", "producer_id", "producer_epoch")
+    open_ = F.concat(session, F.lit("FirstBatchInTxn[firstBatchInTxn="), batch_text(_of("first_batch")), F.format_string(", numDataBatches=%d]", "n_data"))
+    listed = lambda test, text, *order: F.sort_array(F.collect_list(F.when(test, F.struct(*order, text.alias("text")))))
+    lists = rest.agg(listed(is_empty, empty, "file_ord", "line").alias("empty"), listed(~is_empty, open_, "producer_id", "producer_epoch").alias("open"))
+    texts = lambda name: F.array_join(F.transform(name, lambda x: x["text"]), ", ")
+    batch = lambda which: F.coalesce(F.max(F.when(F.col("which") == which, batch_text())), F.lit("null")).alias(which)
+    parts = [texts("open"), "first", "last", texts("empty"), F.col("num_committed").cast("string"), F.col("num_aborted").cast("string"), stats("size"), stats("duration")]
+    out = [x for name, part in zip(INFO, parts, strict=False) for x in (F.lit(name), part)]
+    return totals.join(lists).join(ends.agg(batch("first"), batch("last"))).select(F.concat(*out, F.lit(INFO[-1])).alias("info_out"))
+
+
 def _of(parent: str):
     return lambda name: F.col(f"{parent}.{name}")
 
 
-def report_lines(txns: DataFrame, totals: DataFrame, with_file: bool | Column = False, line_numbers: bool = False) -> DataFrame:
-    """The transaction report: four lines of totals, then empty and open transactions; (part, file_ord, line, line_out) in order."""
+def report_lines(rest: DataFrame, totals: DataFrame, with_file: bool | Column = False, line_numbers: bool = False) -> DataFrame:
+    """The transaction report: four lines of totals, then the located empty and open transactions; (part, file_ord, line, line_out) in order."""
     stats = lambda n: int_statistics(*[F.col(f"{n}_{k}") for k in ("count", "sum", "min", "avg", "max")])
     head = totals.select(
         F.posexplode(
@@ -125,17 +148,17 @@ def report_lines(txns: DataFrame, totals: DataFrame, with_file: bool | Column =
     ).select("part", F.lit(0).alias("file_ord"), F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("a"), F.lit(0).alias("b"), "line_out")
     is_empty = F.col("status") == "EMPTY"
     empty = F.concat(
-        F.lit("empty_txn:"), location(F.col("closing_batch.file_name"), F.col("closed_line"), with_file, line_numbers, ":"), F.lit(" EmptyTransaction[closingBatch="),
+        F.lit("empty_txn:"), location(F.col("closing_batch.file_name"), F.col("line"), with_file, line_numbers, ":"), F.lit(" EmptyTransaction[closingBatch="),
         batch_text(_of("closing_batch")), F.lit(", controlMessage="), control_text(F.col("marker")), F.lit("]"),
     )
     open_ = F.concat(
-        F.lit("open_txn:"), location(F.col("first_batch.file_name"), F.col("first_batch.line"), with_file, line_numbers, ":"),
+        F.lit("open_txn:"), location(F.col("first_batch.file_name"), F.col("line"), with_file, line_numbers, ":"),
         F.format_string(" ProducerSession[producerId=%d, producerEpoch=%d]", "producer_id", "producer_epoch"), F.lit("->FirstBatchInTxn[firstBatchInTxn="),
         batch_text(_of("first_batch")), F.format_string(", numDataBatches=%d]", "n_data"),
     )
     pick = lambda a, b: F.when(is_empty, a).otherwise(b)
-    tail = txns.where("status in ('EMPTY', 'OPEN')").select(
-        pick(F.lit(4), F.lit(5)).alias("part"), pick(F.col("closed_file_ord"), F.lit(0)).alias("file_ord"), pick(F.col("closed_line"), F.lit(0)).alias("line"),
+    tail = rest.select(
+        pick(F.lit(4), F.lit(5)).alias("part"), pick(F.col("file_ord"), F.lit(0)).alias("file_ord"), pick(F.col("line"), F.lit(0)).alias("line"),
         pick(F.lit(0).cast("bigint"), F.col("producer_id")).alias("a"), pick(F.lit(0), F.col("producer_epoch").cast("int")).alias("b"), pick(empty, open_).alias("line_out"),
     )
     return head.unionByName(tail).orderBy("part", "file_ord", "line", "a", "b").select("part", "file_ord", "line", "line_out")

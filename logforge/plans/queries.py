@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import coordinating_partition
 from ..operators import checks, filters, render
 from ..operators import transactions as T
-from . import synthetic
+from ..sources.dumps import parse_segments, read_segments
+from . import commands, dumpfiles, synthetic
 from .commands import txn_stat
 
 PID, EPOCH, LEADER = 7, 1, 1
@@ -36,13 +37,6 @@ def _snapshot(build, newer: bool = True):
     return lambda spark, sf_dir: build(synthetic.snapshot(spark, sf_dir, newer))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _txn_list(t: DataFrame) -> DataFrame:
     return t.select("producer_id", "producer_epoch", "txn_seq", "status", "n_data", "duration_ms")
 
@@ -55,16 +49,21 @@ def _coordinator(table: str, column: str):
 
 
 def _first_last(s) -> DataFrame:
-    r = T.first_last(s.batches)
-    return r.select(*[F.col(f"{w}_batch.{c}").alias(f"{w}_{c}") for w in ("first", "last") for c in ("file_name", "line", "base_offset", "producer_id", "create_time")])
+    r = T.first_last(s.placed, s.lines)
+    return r.agg(*[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{w}_{c}") for w in ("first", "last") for c in ("file_name", "line", "base_offset", "producer_id", "create_time")])
+
+
+def _chosen(s, **tests) -> DataFrame:
+    return _batches(s.numbered(filters.filter_batches(s.placed, **tests)))
 
 
 def _summary(s, **tests) -> DataFrame:
-    return T.summary(T.transactions(filters.filter_batches(s.batches, **tests)))
+    return T.summary(T.transactions(filters.filter_batches(s.placed, **tests)))
 
 
 def _file_columns(s) -> DataFrame:
-    return s.files.select("file_ord", "file_name", "segment_type", "topic", "partition", "topic_suffix", "starting_offset", "deep_iteration", F.col("n_lines").cast("bigint").alias("n_lines"))
+    files = s.files.join(s.lines.edges().select("file_ord", "n_lines"), "file_ord")
+    return files.select("file_ord", "file_name", "segment_type", "topic", "partition", "topic_suffix", "starting_offset", "deep_iteration", F.col("n_lines").cast("bigint").alias("n_lines"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +72,43 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _txn_stat(s) -> DataFrame:
-    return txn_stat(s, line_numbers=True, strict=False)
+    return txn_stat(s, line_numbers=True)
+
+
+def _files(build, write=dumpfiles.data_dumps):
+    """A query over dump files on disk."""
+    return lambda spark, sf_dir: build(read_segments(spark, [write(spark, sf_dir)]))
+
+
+def _command(write, *command: str, **options):
+    """A command over dump files on disk, strict."""
+    return lambda spark, sf_dir: commands.run(spark, command, [write(spark, sf_dir)], **options)
+
+
+def _headers(build):
+    return lambda spark, sf_dir: build(parse_segments(spark, synthetic.header_dumps(spark, sf_dir)))
+
+
+def _refused(build):
+    """The error that a command raises before it plans anything."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        try:
+            build(spark, sf_dir)
+        except ValueError as e:
+            return spark.createDataFrame([(str(e),)], "message string")
+        return spark.createDataFrame([], "message string")
+
+    return query
+
+
+def _two_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.txn_stat(parse_segments(spark, [(n, f"Dumping /x/t-{n}/1.log\nStarting offset: 1\n") for n in ("0", "1")]))
+
+
+def _no_producers(s) -> DataFrame:
+    fifth = F.col("producer_id") % 5 == 0
+    return checks.lint_producers(s.placed.withColumns({"producer_epoch": F.when(fifth, -1).otherwise(F.col("producer_epoch")), "producer_id": F.when(fifth, -1).otherwise(F.col("producer_id"))}), s.lines)
 
 
 _STATES = [n for n in ("producer_id", "producer_epoch", "coordinator_epoch", "current_txn_first_offset", "last_timestamp", "first_sequence", "last_sequence", "last_offset", "offset_delta", "timestamp")]
@@ -91,34 +126,66 @@ QUERIES = {
     "segment_types": _data(_file_columns),
     "segment_types_state": _state(_file_columns),
     "distinct_topics": _data(lambda s: T.topics(s.files)),
-    "filter_pid": _data(lambda s: _batches(filters.filter_batches(s.batches, pid=PID))),
-    "filter_producer_epoch": _data(lambda s: _batches(filters.filter_batches(s.batches, producer_epoch=EPOCH))),
-    "filter_leader_epoch": _data(lambda s: _batches(filters.filter_batches(s.batches, leader_epoch=LEADER))),
-    "filter_all": _data(lambda s: _batches(filters.filter_batches(s.batches, pid=PID, producer_epoch=EPOCH, leader_epoch=LEADER))),
-    "filter_state_pid_epoch": _state(lambda s: _batches(filters.filter_batches(s.batches, pid=PID, producer_epoch=EPOCH))),
-    "filter_transactional_id": _state(lambda s: _batches(filters.filter_batches(s.batches, transactional_id=f"txn-{PID}"))),
-    "snapshot_filter": _snapshot(lambda s: filters.filter_states(s.states, PID, EPOCH).select("line", *_STATES)),
-    "txn_list": _data(lambda s: _txn_list(T.transactions(s.batches))),
-    "empty_txns": _data(lambda s: T.empty_transactions(T.transactions(s.batches)).select("producer_id", "producer_epoch", "commit", F.col("closed_file_ord").alias("file_ord"), F.col("closed_line").alias("line"))),
-    "open_txns": _data(lambda s: T.open_transactions(T.transactions(s.batches)).select("producer_id", "producer_epoch", "n_data", F.col("first_file_ord").alias("file_ord"), F.col("first_batch.line").alias("line"))),
+    "filter_pid": _data(lambda s: _chosen(s, pid=PID)),
+    "filter_producer_epoch": _data(lambda s: _chosen(s, producer_epoch=EPOCH)),
+    "filter_leader_epoch": _data(lambda s: _chosen(s, leader_epoch=LEADER)),
+    "filter_all": _data(lambda s: _chosen(s, pid=PID, producer_epoch=EPOCH, leader_epoch=LEADER)),
+    "filter_state_pid_epoch": _state(lambda s: _chosen(s, pid=PID, producer_epoch=EPOCH)),
+    "filter_transactional_id": _state(lambda s: _chosen(s, transactional_id=f"txn-{PID}")),
+    "snapshot_filter": _snapshot(lambda s: s.lines.add(filters.filter_states(s.placed, PID, EPOCH)).select("line", *_STATES)),
+    "txn_list": _data(lambda s: _txn_list(T.transactions(s.placed))),
+    "empty_txns": _data(lambda s: T.empty_transactions(T.transactions(s.placed), s.lines).select("producer_id", "producer_epoch", "commit", "file_ord", "line")),
+    "open_txns": _data(lambda s: T.open_transactions(T.transactions(s.placed), s.lines).select("producer_id", "producer_epoch", "n_data", "file_ord", "line")),
     "first_last_batch": _data(_first_last),
     "txn_summary_filtered_leader": _data(lambda s: _summary(s, leader_epoch=LEADER)),
-    "state_violations": _state(lambda s: checks.state_violations(s.batches)),
-    "identity_violations_data": _data(lambda s: _union(checks.identity_violations(s.batches)), flawed=True),
-    "identity_violations_state": _state(lambda s: _union(checks.identity_violations(s.batches)), flawed=True),
-    "validity_violations_data": _data(lambda s: _union(checks.validity_violations(s.batches)), flawed=True),
-    "validity_violations_state": _state(lambda s: _union(checks.validity_violations(s.batches)), flawed=True),
-    "record_violations": _data(lambda s: _union(checks.grammar_violations(s.raw, s.files)), flawed=True),
-    "lint_position": _data(lambda s: checks.lint_position(s.batches.withColumn("position", F.col("position") % 1000))),
-    "lint_leader_epoch": _data(lambda s: checks.lint_leader_epoch(s.batches.withColumn("partition_leader_epoch", F.col("producer_epoch").cast("int")))),
+    "state_violations": _state(lambda s: checks.state_violations(s)),
+    "identity_violations_data": _data(lambda s: checks.identity_violations(s.placed, s.lines), flawed=True),
+    "identity_violations_state": _state(lambda s: checks.identity_violations(s.placed, s.lines), flawed=True),
+    "validity_violations_data": _data(lambda s: checks.validity_violations(s.placed, s.lines), flawed=True),
+    "validity_violations_state": _state(lambda s: checks.validity_violations(s.placed, s.lines), flawed=True),
+    "record_violations": _data(lambda s: checks.grammar_violations(s), flawed=True),
+    "lint_position": _data(lambda s: checks.lint_position(s.placed.withColumn("position", F.col("position") % 1000), s.lines)),
+    "lint_leader_epoch": _data(lambda s: checks.lint_leader_epoch(s.placed.withColumn("partition_leader_epoch", F.col("producer_epoch").cast("int")), s.lines)),
     "txn_coord_partition": _coordinator("customer", "c_name"),
     "group_coord_partition": _coordinator("part", "p_name"),
     "cat_render": _data(lambda s: render.segment_lines(s.batches, True, True)),
     "cat_render_state": _state(lambda s: render.segment_lines(s.batches, False, False)),
     "snapshot_render": _snapshot(lambda s: render.state_lines(s.states, False, True)),
-    "abort_cmd": _snapshot(lambda s: render.abort_lines(filters.filter_states(s.states, PID, EPOCH))),
+    "abort_cmd": _snapshot(lambda s: render.abort_lines(s.lines.add(filters.filter_states(s.placed, PID, EPOCH)))),
     "abort_cmd_all_open": _snapshot(lambda s: render.abort_lines(s.states, only_open=True)),
     "txn_stat_report": _data(_txn_stat),
+    "cat_strict": _data(lambda s: commands.segment_cat(s, line_numbers=True)),
+    "txn_info": _data(commands.txn_info),
+    "broken_violations": lambda spark, sf_dir: checks.violations(synthetic.broken_data(spark, sf_dir), F.lit(True)),
+    "broken_state_violations": lambda spark, sf_dir: checks.violations(synthetic.broken_state(spark, sf_dir)),
+    "broken_batches": lambda spark, sf_dir: synthetic.broken_data(spark, sf_dir).batches.select("file_ord", "line", "base_offset", "producer_id", "count", F.size("messages").alias("n_messages")),
+    "number_violations": lambda spark, sf_dir: checks.violations(synthetic.broken_data(spark, sf_dir)).where("check = 'number'"),
+    "header_violations": _headers(lambda s: checks.file_violations(s.files)),
+    "lint_unknown_path": _headers(lambda s: checks.lint_unknown_path(s.files)),
+    "lint_topics": _headers(lambda s: checks.lint_topics(s.files)),
+    "snapshot_violations": lambda spark, sf_dir: checks.snapshot_violations(synthetic.snapshot(spark, sf_dir, flawed=True)),
+    "lint_producers": _snapshot(_no_producers),
+    "transactional_violations": _state(lambda s: checks.transactional_violations(s.placed, True, s.lines), flawed=True),
+    "lint_offsets": _data(lambda s: checks.lint_offsets(s.placed.withColumn("last_offset", F.col("last_offset") + F.col("last_offset") % 3), s.lines)),
+    "lint_truncated": lambda spark, sf_dir: checks.lint_truncated(synthetic.broken_data(spark, sf_dir)),
+    "control_count_violations": lambda spark, sf_dir: (lambda s: checks.control_count_violations(s.placed, s.lines))(synthetic.broken_data(spark, sf_dir)),
+    "guard_not_data": _refused(lambda spark, sf_dir: commands.txn_stat(synthetic.state_segments(spark, sf_dir))),
+    "guard_topics": _refused(_two_topics),
+    "guard_transactional_id": _refused(lambda spark, sf_dir: commands.segment_cat(synthetic.data_segments(spark, sf_dir), transactional_id="txn-7")),
+    "snapshot_render_colour": _snapshot(lambda s: render.state_lines(s.states, False, True, colour=True)),
+    "snapshot_record_render": _snapshot(lambda s: s.states.select("line", render.snapshot_record_text().alias("line_out"))),
+    "cat_render_state_colour": _state(lambda s: render.segment_lines(s.batches, False, False, colour=True)),
+    "file_facts": _files(_file_columns),
+    "file_shallow_facts": _files(_file_columns, lambda spark, sf_dir: dumpfiles.data_dumps(spark, sf_dir, deep=False)),
+    "file_batches": _files(lambda s: _batches(s.batches)),
+    "file_filter_pid": _files(lambda s: _chosen(s, pid=PID)),
+    "file_txn_list": _files(lambda s: _txn_list(T.transactions(s.placed))),
+    "file_cat": _command(dumpfiles.data_dumps, "segment", "cat", line_numbers=True),
+    "file_shallow_cat": _command(lambda spark, sf_dir: dumpfiles.data_dumps(spark, sf_dir, deep=False), "segment", "cat", line_numbers=True),
+    "file_txn_stat": _command(dumpfiles.data_dumps, "segment", "txn-stat", line_numbers=True),
+    "file_state_cat": _command(dumpfiles.state_dumps, "segment", "cat", line_numbers=True, transactional_id=f"txn-{PID}"),
+    "file_snapshot_cat": _command(dumpfiles.snapshot_dumps, "snapshot", "cat", line_numbers=True),
+    "file_abort_cmd": _command(dumpfiles.snapshot_dumps, "snapshot", "abort-cmd", pid=PID, producer_epoch=EPOCH),
 }
 
 # --- the same as SQL -------------------------------------------------------
@@ -266,5 +333,88 @@ UNION ALL SELECT 4, closed_file, closed_line, 'empty_txn:' || CASE WHEN many THE
 UNION ALL SELECT 5, 0, 0, 'open_txn:' || CASE WHEN many THEN file_name || ':' ELSE '' END || line || ': ProducerSession[producerId=' || producer_id || ', producerEpoch=' || producer_epoch || ']->FirstBatchInTxn[firstBatchInTxn=' || {_RENDER_BATCH} || ', numDataBatches=' || n || ']'
   FROM (SELECT b.*, x.n_data AS n FROM x JOIN b ON b.event_id = x.first_event WHERE status = 'OPEN'), f""",
 }
+_BROKEN = f"""{_E},
+p AS (SELECT *, event_id % 50 AS f, CASE WHEN event_id % 50 = 6 THEN 1 WHEN event_id % 50 IN (4, 5, 8, 9) THEN 3 ELSE 2 END AS n FROM e),
+b AS (SELECT *, printf('%020d.dump', file_ord) AS file_name, (3 + coalesce(sum(n) OVER (PARTITION BY file_ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS line FROM p)"""
+_SAYS = lambda raw: f"'For input string: \"{raw}\"'"
+_DUE = lambda n, kind: f"'Expected {n} {kind} records in batch, but this doesn''t look like a {kind} record'"
+_NUMBERS = " UNION ALL ".join([_row(4, "number", _SAYS(synthetic.LARGE_LONG), "f = 0"), _row(4, "number", _SAYS(synthetic.LARGE_INT), "f = 1"), _row(4, "number", _SAYS(synthetic.LARGE_LONG), "f = 2", "line + 1")])
+_CONTROLS = _row(9, "control_count", f"'{checks.CONTROL_COUNT}'", "f = 8")
+_NATIONS = "n AS (SELECT n_nationkey AS k, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS file_ord, printf('%03d', n_nationkey) AS file_name FROM nation), b AS (SELECT *, 1 AS line FROM n)"
+_ESC = "chr(27)"
+_PAINT = lambda code, text: f"{_ESC} || '[{code}m' || {text} || {_ESC} || '[0m'"
+_PAINTED = {"producer_id", "producer_epoch", "coordinator_epoch"}
+
+
+def _state_list(paint: bool, times: bool, opened: str, close: str) -> str:
+    value = lambda f: _ISO.format(f[1:]) if f[0] == "@" and times else f"{_ESC} || '[1m' || {_ESC} || '[34m' || {f} || {_ESC} || '[0m'" if paint and f in _PAINTED else f.lstrip("@")
+    return f"'{opened}' || " + " || ', ' || ".join(f"'{label}=' || " + value(f) for label, f in render.STATE_NAMES) + f" || '{close}'"
+
+
+def _on_disk(count: str, deep: bool = True) -> str:
+    """Batches of the dump files: ``count`` records each, 5000 batches a file."""
+    e = _E.replace("event_id // 2500", f"event_id // {dumpfiles.PER_FILE}").replace("event_id % 2500", f"event_id % {dumpfiles.PER_FILE}")
+    lines = f"1 + {count}" if deep else "1"
+    b = _b().split("b AS (", 1)[1].replace("(2 * i + 3)::INT AS line", "at_line AS line").replace("1::INT AS count", f"({count})::INT AS count").replace("FROM e)", "FROM l)")
+    return f"{e}, l AS (SELECT *, (3 + coalesce(sum({lines}) OVER (PARTITION BY file_ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS at_line FROM e),\nb AS ({b}"
+
+
+_COUNT = "CASE WHEN kind = 'DATA' THEN event_id % 3 + 1 ELSE 1 END"
+_DISK, _SHALLOW = _on_disk(_COUNT), _on_disk(_COUNT, deep=False)
+_MANY = "f AS (SELECT count(DISTINCT file_ord) > 1 AS many FROM e)"
+_HERE = "CASE WHEN many THEN file_name || ':' ELSE '' END || line || ': '"
+
+
+def _disk_facts(deep: bool) -> str:
+    return f"""WITH {_DISK if deep else _SHALLOW} SELECT file_ord, file_name, 'DATA' AS segment_type, 'orders' AS topic, 3::INT AS partition, '-3' AS topic_suffix, file_ord::BIGINT AS starting_offset, {deep} AS deep_iteration,
+  (2 + sum({"1 + count" if deep else "1"}))::BIGINT AS n_lines FROM b GROUP BY file_ord, file_name"""
+
+
+ORACLE_SQL |= {
+    "cat_strict": ORACLE_SQL["cat_render"].replace(f"WITH {_b()} ", f"WITH {_b()}, {_MANY} ").replace("file_name || ':' || line ||", "CASE WHEN many THEN file_name || ':' ELSE '' END || line ||").replace("file_name || ':' || (line + 1) ||", "CASE WHEN many THEN file_name || ':' ELSE '' END || (line + 1) ||").replace("FROM b", "FROM b, f"),
+    "txn_info": f"""WITH {_b()}, {_TXN.format('b')}, y AS ({_TOTALS}),
+r AS (SELECT *, {_RENDER_BATCH} AS text, {_RENDER_CONTROL.format("(kind = 'COMMIT')::VARCHAR")} AS marker
+  FROM (SELECT b.*, x.status, x.n_data AS n FROM x JOIN b ON b.event_id = CASE x.status WHEN 'EMPTY' THEN x.closed_event ELSE x.first_event END WHERE x.status IN ('EMPTY', 'OPEN')))
+SELECT 'SegmentInfo[openTransactions={{' || coalesce((SELECT string_agg('ProducerSession[producerId=' || producer_id || ', producerEpoch=' || producer_epoch || ']=FirstBatchInTxn[firstBatchInTxn=' || text || ', numDataBatches=' || n || ']', ', ' ORDER BY producer_id, producer_epoch) FROM r WHERE status = 'OPEN'), '')
+  || '}}, firstBatch=' || (SELECT {_RENDER_BATCH} FROM b ORDER BY event_id LIMIT 1) || ', lastBatch=' || (SELECT {_RENDER_BATCH} FROM b ORDER BY event_id DESC LIMIT 1)
+  || ', emptyTransactions=[' || coalesce((SELECT string_agg('EmptyTransaction[closingBatch=' || text || ', controlMessage=' || marker || ']', ', ' ORDER BY file_ord, line) FROM r WHERE status = 'EMPTY'), '')
+  || '], committed=' || num_committed || ', aborted=' || num_aborted || ', txnSizeStats=' || {_stat_text('size')} || ', txnDurationStats=' || {_stat_text('duration')} || ']' AS info_out FROM y""",
+    "broken_violations": f"WITH {_BROKEN} " + " UNION ALL ".join([_NUMBERS, _CONTROLS, _row(4, "record", _DUE(1, "data"), "f = 3", "line + 2"), _row(4, "batch", "'Expected a message batch'", "f IN (4, 5)", "line + 2"), _row(4, "batch", "'Expected a message batch'", "f = 6"), _row(4, "record", _DUE(1, "control"), "f = 7", "line + 1")]),
+    "broken_state_violations": f"WITH {_STATE_BATCH}, b1 AS (SELECT *, event_id % 50 AS f FROM b) " + " UNION ALL ".join([_row(4, "payload", "'Didn''t match expected pattern'", "f = 0", "line + 1"), _row(4, "record", _DUE(1, "txn"), "f = 1", "line + 1"), _row(4, "number", _SAYS(synthetic.LARGE_LONG), "f = 2", "line + 1")]).replace("FROM b ", "FROM b1 "),
+    "broken_batches": f"WITH {_BROKEN} SELECT file_ord, line, event_id AS base_offset, CASE WHEN f <> 0 THEN user_id END AS producer_id, CASE WHEN f = 1 THEN NULL WHEN f IN (8, 9) THEN 2 ELSE 1 END::INT AS count, CASE WHEN f IN (8, 9) THEN 2 ELSE 1 END::INT AS n_messages FROM b WHERE f NOT IN (3, 6) AND i <> {synthetic.PER_FILE - 1}",
+    "number_violations": f"WITH {_BROKEN} {_NUMBERS}",
+    "control_count_violations": f"WITH {_BROKEN} {_CONTROLS}",
+    "lint_truncated": f"WITH {_BROKEN} " + _row(23, "truncated", "file_name || ':' || line || ': Batch has 1 of 2 records'", f"i = {synthetic.PER_FILE - 1}"),
+    "header_violations": f"WITH {_NATIONS} " + " UNION ALL ".join([
+        _row(0, "lines", "'Expected > 0 lines'", "k % 7 = 0"), _row(1, "lines", "'Expected > 1 lines'", "k % 7 = 1", "2"), _row(0, "dumping_line", f"'{checks.NO_DUMPING}'", "k % 7 = 2"), _row(1, "offset_line", f"'{checks.NO_OFFSET}'", "k % 7 = 3", "2"),
+        _row(3, "offset_name", "'Segment file name /x-1/' || k || '.log implies starting offset of ' || k || ' but 2nd line says offset is 4' || k", "k % 7 = 4", "2"), _row(2, "file_name", f"'{checks.NO_NAME}'", "k % 7 = 5", "2"), _row(4, "batch", "'Expected a message batch'", "k % 7 = 6", "3"),
+    ]),
+    "lint_unknown_path": f"WITH {_NATIONS} " + _row(26, "unknown_path", f"'{checks.NO_PARENT.replace(chr(39), chr(39) * 2)}'", "k % 7 = 6"),
+    "lint_topics": f"WITH {_NATIONS} " + _row(25, "topic", "'Dump of another topic partition than the first'", "k % 7 IN (1, 3, 4, 5)"),
+    "snapshot_violations": f"WITH {_snap(True)}, b AS (SELECT *, 0::INT AS file_ord, '0.snapshot' AS file_name FROM s) " + _row(4, "record", "'This doesn''t look like a data record'", "producer_id % 7 = 0") + " UNION ALL " + _row(4, "number", _SAYS(synthetic.LARGE_LONG), "producer_id % 7 <> 0 AND producer_id % 11 = 0"),
+    "lint_producers": f"WITH {_snap(True)}, b AS (SELECT *, 0::INT AS file_ord, '0.snapshot' AS file_name FROM s) " + _row(24, "producer", "file_name || ':' || line || ': Not a transactional producer'", "producer_id % 5 = 0"),
+    "transactional_violations": f"WITH {_BAD_STATE} " + _row(8, "transactional", "file_name || ':' || line || ': Batch was not transactional'", "NOT is_transactional"),
+    "lint_offsets": f"""WITH {_b()}, p AS (SELECT *, lag(last_offset + last_offset % 3) OVER (PARTITION BY file_ord ORDER BY line) AS previous FROM b)
+SELECT file_ord, file_name, line, 22::INT AS check_order, 'offsets' AS "check", file_name || ':' || line || ': Batch base offset ' || base_offset || ' is not above the previous last offset ' || previous AS message FROM p WHERE previous >= base_offset""",
+    "guard_not_data": "SELECT '__transaction_state partitions do not contain transactional messages' AS message",
+    "guard_topics": "SELECT 'Segment dumps come from multiple different topics [''-0'', ''-1'']' AS message",
+    "guard_transactional_id": "SELECT 'a transactional id can only be used on partitions of __transaction_state' AS message",
+    "snapshot_render_colour": f"WITH {_snap(True)} SELECT 0::INT AS file_ord, line, line || ': ' || {_state_list(True, True, 'ProducerState(', ')')} AS line_out FROM s",
+    "snapshot_record_render": f"WITH {_snap(True)} SELECT line, {_state_list(False, False, 'ProducerSnapshot{', '}')} AS line_out FROM s",
+    "cat_render_state_colour": f"WITH {_STATE_BATCH} SELECT file_ord, line, regexp_replace({_RENDER_BATCH}, '^(.*isValid=)(.*)\\)$', {_ESC} || '[1m\\1' || {_ESC} || '[0m\\2' || {_ESC} || '[1m)' || {_ESC} || '[0m') AS line_out FROM b"
+    + f" UNION ALL SELECT file_ord, (line + 1)::INT, '  ' || CASE WHEN event_id % 50 = 49 THEN {_RENDER_DELETE} ELSE {_RENDER_CHANGE.replace('|| ' + _STATE + ' ||', '|| ' + _PAINT('34', _STATE) + ' ||')} END FROM b",
+    "file_facts": _disk_facts(True),
+    "file_shallow_facts": _disk_facts(False),
+    "file_batches": _where(_DISK, "TRUE"),
+    "file_filter_pid": _where(_DISK, f"producer_id = {PID}"),
+    "file_txn_list": f"WITH {_DISK}, {_TXN.format('b')} SELECT producer_id, producer_epoch, txn_seq, status, n_data, duration_ms FROM x",
+    "file_cat": f"WITH {_DISK}, {_MANY} SELECT file_ord, line, {_HERE} || {_RENDER_BATCH} AS line_out FROM b, f UNION ALL SELECT file_ord, line, {_HERE} || '  ' || CASE WHEN is_control THEN {_RENDER_CONTROL.format('lower(kind)')} ELSE {_RENDER_DATA} END FROM (SELECT * REPLACE ((line + k)::INT AS line) FROM b, range(1, 4) r(k) WHERE k <= count), f",
+    "file_shallow_cat": f"WITH {_SHALLOW}, {_MANY} SELECT file_ord, line, {_HERE} || {_RENDER_BATCH} AS line_out FROM b, f",
+    "file_txn_stat": ORACLE_SQL["txn_stat_report"].replace(_b(), _DISK),
+    "file_state_cat": f"WITH {_on_disk('1').replace('kind <> ' + chr(39) + 'DATA' + chr(39) + ' AS is_control', 'FALSE AS is_control').replace('(user_id)::BIGINT AS producer_id, (user_id % 3)::SMALLINT AS producer_epoch', '(-1)::BIGINT AS producer_id, (-1)::SMALLINT AS producer_epoch').replace('TRUE AS is_transactional', 'FALSE AS is_transactional')}, {_MANY} "
+    + f"SELECT file_ord, line, {_HERE} || {_RENDER_BATCH} AS line_out FROM b, f WHERE user_id = {PID} UNION ALL SELECT file_ord, line, {_HERE} || '  ' || {_RENDER_CHANGE.replace(_STATE, 'CASE WHEN user_id % 2 = 0 THEN ' + chr(39) + 'Ongoing' + chr(39) + ' ELSE ' + chr(39) + 'Empty' + chr(39) + ' END')} FROM (SELECT * REPLACE ((line + 1)::INT AS line) FROM b WHERE user_id = {PID}), f",
+    "file_snapshot_cat": ORACLE_SQL["snapshot_render"],
+    "file_abort_cmd": ORACLE_SQL["abort_cmd"],
+}
 # a marker's line is the one below its batch
 ORACLE_SQL["empty_txns"] = ORACLE_SQL["empty_txns"].replace("closed_line AS line FROM x", "(closed_line + 1)::INT AS line FROM x")

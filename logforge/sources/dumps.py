@@ -1,15 +1,18 @@
 """Segment dumps as DataFrames.
 
 A dump file is scanned with a record separator that begins a batch line, so each
-Spark row is one whole batch and the scan stays splittable.  Line numbers come
-from newline counts: totals of the splits are prefix-summed, which is a small
-table, and a running sum inside each split does the rest, so no file needs to fit
-one task.
+Spark row is one whole batch and the scan stays splittable.  Batches are parsed and
+filtered straight on the scan: (file_ord, split, place) is their place in the log,
+and no text is shuffled.  Line numbers are made only for rows that are shown: the
+numbers of lines of all rows (integers, no text) are summed within each split, and
+the splits' totals are prefix-summed, so no file needs to fit one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +30,19 @@ STATE_TOPIC, OFFSETS_TOPIC = "__transaction_state", "__consumer_offsets"
 
 MESSAGE = (
     "struct<kind: string, line: int, offset: bigint, create_time: bigint, key_size: int, value_size: int, sequence: int, header_keys: string, commit: boolean, coordinator_epoch: int, "
-    "transaction_id: string, txn_producer_id: bigint, txn_producer_epoch: smallint, state: string, partitions: string, txn_last_update_timestamp: bigint, txn_timeout_ms: bigint>"
+    "transaction_id: string, txn_producer_id: bigint, txn_producer_epoch: smallint, state: string, partitions: string, txn_last_update_timestamp: bigint, txn_timeout_ms: bigint, bad_number: string>"
 )
+#: Place of a row in the log.
+PLACE = ["file_ord", "split", "place"]
+#: So many bytes of a file's beginning are read, and twice as many each time while they do not tell what kind of dump it is, up to the
+#: second number (a dump that begins with as much of batches without records counts as shallow); files are read by so many threads.
+PEEK_BYTES, MOST_BYTES, PEEK_THREADS = 1 << 14, 1 << 24, 32
+#: What the beginning of a file tells; file_ord int and file_name string come before it.
+FACTS = "lead string, deep_iteration boolean"
 
 
-def ordered_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """(file_ord, file_name, file_path) of files, directories or globs, ordered by base name; equal names keep their order."""
+def ordered_files(spark: SparkSession, paths: Iterable[str]) -> list[tuple[int, str, str]]:
+    """(file_ord, file_name, path) of files, directories or globs, ordered by base name; equal names keep their order."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for p in paths:
@@ -45,64 +55,114 @@ def ordered_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
             inside = store.listStatus(status.getPath()) if status.isDirectory() else [status]
             found += [(s.getPath().getName(), s.getPath().toUri().toString()) for s in inside if s.isFile()]
     found.sort(key=lambda f: f[0])
-    return spark.createDataFrame([(i, n, u) for i, (n, u) in enumerate(found)], "file_ord int, file_name string, file_path string")
+    return [(i, n, u) for i, (n, u) in enumerate(found)]
 
 
 def _uri(path: Column) -> Column:
     return F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
 
 
-def scan(spark: SparkSession, files: DataFrame, separator: str) -> DataFrame:
+def scan(spark: SparkSession, files: list[tuple[int, str, str]], separator: str) -> DataFrame:
     """(file_ord, file_name, split, place, value): the pieces of every file between separators."""
-    paths = [r["file_path"] for r in files.select("file_path").collect()]
-    if not paths:
+    if not files:
         return spark.createDataFrame([], "file_ord int, file_name string, split bigint, place bigint, value string")
-    text = spark.read.option("lineSep", separator).text(paths)
-    rows = text.select(_uri(F.col("_metadata.file_path")).alias("uri"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r(?=\n|\z)", "").alias("value"))
-    return rows.join(F.broadcast(files.withColumn("uri", _uri(F.col("file_path")))), "uri").select("file_ord", "file_name", "split", "place", "value")
+    text = spark.read.option("lineSep", separator).text([f[2] for f in files])
+    value = F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", r"\r(?=\n|\z)", "")).otherwise(F.col("value"))
+    rows = text.select(_uri(F.col("_metadata.file_path")).alias("uri"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), value.alias("value"))
+    table = spark.createDataFrame(files, "file_ord int, file_name string, file_path string")
+    return rows.join(F.broadcast(table.withColumn("uri", _uri(F.col("file_path")))), "uri").select("file_ord", "file_name", "split", "place", "value")
 
 
-def pieces(spark: SparkSession, texts: Iterable[tuple[str, str]], separator: str) -> DataFrame:
-    """As ``scan``, from (file name, whole text) in memory, ordered by name."""
-    rows = [(i, n, t.replace("\r\n", "\n")) for i, (n, t) in enumerate(sorted(texts, key=lambda x: x[0])) if t]
+def in_memory(spark: SparkSession, texts: Iterable[tuple[str, str]], separator: str) -> DataFrame:
+    """As ``scan``, from (file name, whole text), ordered by name."""
+    rows = [(i, n, t.replace("\r\n", "\n").removesuffix("\n")) for i, (n, t) in enumerate(sorted(texts, key=lambda x: x[0])) if t]
     df = spark.createDataFrame(rows, "file_ord int, file_name string, text string")
     parts = F.posexplode(F.split("text", F.lit(separator.replace("|", r"\|"))))
     return df.select("file_ord", "file_name", F.lit(0).cast("bigint").alias("split"), parts.alias("place", "value")).withColumn("place", F.col("place").cast("bigint"))
 
 
-def split_totals(records: DataFrame, usual: str) -> DataFrame:
-    """One row for each split of each file, from one hash aggregation over the text.
+_FIRST_FULL = re.compile(rf"^{LEAD}[^\n]* count: 0*[1-9][^\n]*\n(\| )?", re.M)
+
+
+def told(text: str, ended: bool) -> tuple[str, bool] | None:
+    """(header lines, whether the dump is deep) if the beginning of a dump tells: by what follows the first batch line that counts records."""
+    text = text.replace("\r\n", "\n")
+    m = _FIRST_FULL.search(text)
+    if not ended and (m is None or len(text) < m.end() + 2):
+        return None
+    at = 0 if text.startswith(LEAD) else text.find("\n" + LEAD)
+    return (text if at < 0 else text[:at]).removesuffix("\n"), bool(m and m[1])
 
-    ``usual`` is the pattern that all pieces but a file's first begin with, so
-    that only the other pieces (the header, as a rule) are held while aggregating.
-    base: lines before the split; head, tail: whether it is the file's first or last;
-    lead: the file's first piece (in its first split); file_lines, file_records and deep: of the whole file.
-    """
-    lines = F.size(F.split("value", "\n")).cast("bigint")
-    odd = F.when(~F.col("value").rlike(rf"\A(?:{usual})"), F.struct("place", "value"))
-    t = records.groupBy("file_ord", "file_name", "split").agg(
-        F.sum(lines).alias("all"), F.count(F.lit(1)).alias("k"), F.bool_or(F.contains("value", F.lit("\n| "))).alias("body"), F.min("place").alias("first_place"),
-        F.max_by(F.endswith("value", F.lit("\n")), "place").alias("blank"), F.array_min(F.collect_list(odd)).alias("odd"),
-    ).withColumn("lead", F.when(F.col("odd.place") == F.col("first_place"), F.col("odd.value")))
-    by_file = W.partitionBy("file_ord")
-    last = F.max(F.struct("split", "blank")).over(by_file)
-    return t.select(
-        "file_ord", "file_name", "split", F.coalesce(F.sum("all").over(by_file.orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-        (F.col("split") == F.min("split").over(by_file)).alias("head"), (F.col("split") == last["split"]).alias("tail"), "lead",
-        (F.sum("all").over(by_file) - last["blank"].cast("int")).alias("file_lines"), F.sum("k").over(by_file).alias("file_records"), F.bool_or("body").over(by_file).alias("deep"),
-    )
 
+def _first_line(text: str, ended: bool) -> tuple[str, bool] | None:
+    return (text.replace("\r\n", "\n").split("\n", 1)[0], False) if ended or "\n" in text else None
+
+
+def peek(spark: SparkSession, files: list[tuple[int, str, str]], tells: Callable = told) -> DataFrame:
+    """``FACTS`` of every file, from its first few KB; files without a line have no lead."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-def numbered(records: DataFrame, totals: DataFrame) -> DataFrame:
-    """Records with ``lines`` (array), ``line`` (number of the first one), ``first`` and ``last`` in their file, and the columns of ``totals`` besides."""
-    inside = W.partitionBy("file_ord", "split").orderBy("place")
-    r = records.withColumn("n", F.size(F.split("value", "\n")).cast("bigint"))
-    r = r.withColumns({"before": F.coalesce(F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "rank": F.row_number().over(inside), "next": F.lead("place").over(inside)})
-    r = r.join(totals.drop("file_name", "lead", "file_lines", "file_records"), ["file_ord", "split"])
-    last = F.col("tail") & F.col("next").isNull()
-    value = F.when(last, F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
-    more = [c for c in totals.columns if c not in ("file_ord", "file_name", "split", "base", "head", "tail", "lead", "file_lines", "file_records")]
-    return r.select("file_ord", "file_name", (F.col("base") + F.col("before") + 1).cast("int").alias("line"), (F.col("head") & (F.col("rank") == 1)).alias("first"), last.alias("last"), F.split(value, "\n").alias("lines"), *more)
+    def facts(file: tuple[int, str, str]) -> tuple:
+        path = jvm.org.apache.hadoop.fs.Path(file[2])
+        stream = path.getFileSystem(conf).open(path)
+        raw, size = b"", PEEK_BYTES
+        try:
+            while True:
+                part = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+                raw, ended, size = raw + part, len(part) < size, len(raw) + len(part)
+                found = tells(raw.decode("utf-8", "replace"), ended or len(raw) >= MOST_BYTES or not raw.startswith(b"Dumping "))
+                if found:
+                    return (*file[:2], found[0] if raw else None, found[1])
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(PEEK_THREADS) as pool:
+        return spark.createDataFrame(list(pool.map(facts, files)), f"file_ord int, file_name string, {FACTS}")
+
+
+def facts_of(spark: SparkSession, texts: Iterable[tuple[str, str]], tells: Callable = told) -> DataFrame:
+    """As ``peek``, of texts in memory."""
+    rows = [(i, n, tells(t, True)[0] if t else None, tells(t, True)[1]) for i, (n, t) in enumerate(sorted(texts, key=lambda x: x[0]))]
+    return spark.createDataFrame(rows, f"file_ord int, file_name string, {FACTS}")
+
+
+def found_facts(rows: DataFrame) -> DataFrame:
+    """As ``peek``, of rows whose files cannot be opened: one aggregation, with one piece held for each file."""
+    at = F.struct("split", "place")
+    counted = F.when(F.col("value").rlike(r"\A[^\n]* count: 0*[1-9]"), at)
+    return rows.groupBy("file_ord", "file_name").agg(F.min_by("value", at).alias("lead"), F.coalesce(F.min_by(F.contains("value", F.lit("\n| ")), counted), F.lit(False)).alias("deep_iteration"))
+
+
+class Lines:
+    """Line numbers of ``rows(file_ord, split, place, value)``, from one shuffle of integers."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        n = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))) + 1
+        # dealt once; the windows and sums below need no other exchange of it
+        self.counts = rows.select(*PLACE, n.cast("bigint").alias("n"), F.endswith("value", F.lit("\n")).alias("blank")).repartition("file_ord", "split")
+
+    def splits(self) -> DataFrame:
+        """A row for each split: lines before it in its file (base), its lines, its first and last place, and whether its last row ends in a line end."""
+        t = self.counts.groupBy("file_ord", "split").agg(F.sum("n").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.max_by("blank", "place").alias("blank"))
+        before = W.partitionBy("file_ord").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+        return t.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    def edges(self) -> DataFrame:
+        """A row for each file: its first and last row, and its number of lines."""
+        last = F.max_by("blank", "split").cast("int")
+        ends = F.min(F.struct("split", F.col("lo").alias("place"))).alias("head"), F.max(F.struct("split", F.col("hi").alias("place"))).alias("tail")
+        # always true, but with the same columns as in ``numbers`` the two share one scan and exchange
+        return self.splits().groupBy("file_ord").agg(*ends, F.sum("n").alias("n_all"), (F.sum("n") - last).alias("n_lines")).where("n_all > 0").drop("n_all")
+
+    def numbers(self) -> DataFrame:
+        """(file_ord, split, place, line): the number of the first line of every row."""
+        before = F.coalesce(F.sum("n").over(W.partitionBy("file_ord", "split").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        inside = self.counts.select(*PLACE, before.alias("before"))
+        return inside.join(self.splits().select("file_ord", "split", "base"), ["file_ord", "split"]).select(*PLACE, (F.col("base") + F.col("before") + 1).cast("int").alias("line"))
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """``df``, which has the columns of ``PLACE``, with its line numbers."""
+        return df.join(self.numbers(), PLACE)
 
 
 def segment_type(path: Column) -> Column:
@@ -120,11 +180,36 @@ def topic_columns(path: Column) -> list[Column]:
 
 @dataclass
 class Segments:
-    """``files``: a row for each dump file; ``batches``: every assembled batch; ``raw``: all numbered records with what they parse to."""
+    """Dump files: ``files``, a row for each; ``pieces``, all records with what they parse to; ``lines``, their numbers on demand.
+
+    ``placed`` are the assembled batches by their place in the log; their messages'
+    lines are counted from the batch line.  ``batches`` and ``raw`` are batches and
+    pieces with line numbers.
+    """
 
     files: DataFrame
-    raw: DataFrame
-    batches: DataFrame
+    pieces: DataFrame
+    lines: Lines
+
+    @property
+    def placed(self) -> DataFrame:
+        return self.pieces.where("whole").select(*PLACE, "file_name", *[n for _, n, _, _ in G.BATCH], "messages", "segment_type", "deep_iteration")
+
+    @property
+    def batches(self) -> DataFrame:
+        return self.numbered(self.placed)
+
+    @property
+    def raw(self) -> DataFrame:
+        """Records after the header, with line numbers, and whether each is the last of its file."""
+        edges = F.broadcast(self.lines.edges().select("file_ord", "head", "tail"))
+        at = F.struct("split", "place")
+        r = self.numbered(self.pieces).join(edges, "file_ord").where(at != F.col("head"))
+        return r.withColumn("last", at == F.col("tail")).drop("head", "tail")
+
+    def numbered(self, batches: DataFrame) -> DataFrame:
+        """Any of these batches with line numbers."""
+        return self.lines.add(batches).withColumn("messages", F.transform("messages", lambda m: m.withField("line", F.col("line") + m["line"])))
 
 
 def _parsed(line: Column, control: Column, state: Column) -> Column:
@@ -140,57 +225,54 @@ def _message(p: Column, change: Column, number: Column, control: Column, state:
     gone = at(8) == G.DELETED
     changed = state & ~gone & G.matched(change, G.STATE_PAYLOAD)
     kind = F.when(~fits, F.lit(None)).when(control, "CONTROL").when(~state, "DATA").when(gone, "STATE_DELETE").when(changed, "STATE_CHANGE").otherwise("BAD_PAYLOAD")
-    of = lambda k, t: F.when(changed, F.get(change, F.lit(k)).try_cast(t))
-    values = [kind, number.cast("int"), *G.typed(p, G.RECORD), at(6), F.when(control, at(7) == "COMMIT"), F.when(control, at(8).try_cast("int")), F.when(state, at(7))]
-    values += [of(1, "bigint"), of(2, "smallint"), of(3, "string"), of(4, "string"), of(5, "bigint"), of(6, "bigint")]
+    epoch = at(8).try_cast("int")
+    numbers = {k: F.get(change, F.lit(k)).try_cast(t) for k, t in ((1, "bigint"), (2, "smallint"), (5, "bigint"), (6, "bigint"))}
+    of = lambda k: F.when(changed, numbers.get(k, F.get(change, F.lit(k))))
+    bad = [G.bad_number(p, G.RECORD), F.when(control & epoch.isNull(), at(8)), *[F.when(changed & n.isNull(), F.get(change, F.lit(k))) for k, n in numbers.items()]]
+    values = [kind, number.cast("int"), *G.typed(p, G.RECORD), at(6), F.when(control, at(7) == "COMMIT"), F.when(control, epoch), F.when(state, at(7)), *[of(k) for k in range(1, 7)], F.when(fits, F.coalesce(*bad))]
     return F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]).cast(MESSAGE)
 
 
-def assemble(records: DataFrame, files: DataFrame | None = None) -> Segments:
-    """Files, batches and raw records of dump pieces (``scan`` or ``pieces``).
+def assemble(rows: DataFrame, facts: DataFrame | None = None) -> Segments:
+    """Segments of dump pieces (``scan`` or ``in_memory``), with the ``FACTS`` of their files if these are known.
 
-    ``files`` (file_ord, file_name) adds files that have no line at all.
+    A number that its type cannot hold is null, and named in bad_number; its batch stays.
     """
-    totals = split_totals(records, "[0-9]")
-    lines = F.split(F.when(F.col("file_records") == 1, F.regexp_replace("lead", r"\n\z", "")).otherwise(F.col("lead")), "\n")
-    f = totals.where("head").select("file_ord", "file_name", lines.alias("lines"), F.col("deep").alias("deep_iteration"), F.col("file_lines").alias("n_lines"))
-    if files is not None:
-        f = files.select("file_ord", "file_name").join(f.drop("file_name"), "file_ord", "left")
-    lead, second = F.get("lines", F.lit(0)), F.get("lines", F.lit(1))
+    f = facts if facts is not None else found_facts(rows)
+    line = lambda k: F.get(F.split("lead", "\n"), F.lit(k))
     form = r"(?i)\A.*starting offset: ([0-9]+)\z"
-    path = F.when(lead.rlike(r"\ADumping (.*)\z"), F.regexp_extract(lead, r"\ADumping (.*)\z", 1))
-    f = f.select("*", path.alias("path"), F.when(second.rlike(form), F.regexp_extract(second, form, 1).try_cast("bigint")).alias("starting_offset"), F.coalesce(F.size("lines"), F.lit(0)).alias("header_lines"))
+    path = F.when(line(0).rlike(r"\ADumping (.*)\z"), F.regexp_extract(line(0), r"\ADumping (.*)\z", 1))
+    f = f.select("*", path.alias("path"), F.when(line(1).rlike(form), F.regexp_extract(line(1), form, 1).try_cast("bigint")).alias("starting_offset"))
     f = f.select(
         "file_ord", "file_name", "path", segment_type(F.col("path")).alias("segment_type"), *topic_columns(F.col("path")), "starting_offset",
-        F.regexp_extract(base_name(F.col("path")), r"\A([0-9]+)\.log\z", 1).try_cast("bigint").alias("name_offset"),
-        F.coalesce("deep_iteration", F.lit(False)).alias("deep_iteration"), F.when(F.col("lines").isNull(), 0).otherwise(F.col("header_lines")).alias("header_lines"), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+        F.regexp_extract(base_name(F.col("path")), r"\A([0-9]+)\.log\z", 1).try_cast("bigint").alias("name_offset"), "deep_iteration", F.when(F.col("lead").isNull(), 0).otherwise(F.size(F.split("lead", "\n"))).alias("header_lines"),
     )
-    # what the batches need of their file travels with the totals of its splits
-    kind = F.max(F.when(F.col("head"), segment_type(F.regexp_extract(F.col("lead"), r"\ADumping ([^\n]*)", 1)))).over(W.partitionBy("file_ord"))
-    b = numbered(records, totals.withColumn("segment_type", kind)).where(~F.col("first")).withColumnRenamed("deep", "deep_iteration")
+    # a row for each file, as the table of files that every scan broadcasts
+    b = rows.join(F.broadcast(f.select("file_ord", "segment_type", "deep_iteration")), "file_ord")
+    blank = F.endswith("value", F.lit("\n"))
+    text = F.when(blank, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    b = b.select(*PLACE, "file_name", "segment_type", "deep_iteration", blank.alias("blank"), F.split(text, "\n").alias("lines"))
     header = F.concat(F.lit(LEAD), F.get("lines", F.lit(0)))
-    b = b.select("file_ord", "file_name", "line", "last", "segment_type", "deep_iteration", G.fields(header, G.BATCH_PATTERN).alias("_h"), F.slice("lines", F.lit(2), F.size("lines")).alias("_body"))
+    b = b.select(*PLACE, "file_name", "segment_type", "deep_iteration", "blank", G.fields(header, G.BATCH_PATTERN).alias("_h"), F.slice("lines", F.lit(2), F.size("lines")).alias("_body"))
     b = b.withColumns(dict(zip([n for _, n, _, _ in G.BATCH], G.typed(F.col("_h"), G.BATCH), strict=True)))
-    b = b.withColumn("fits", G.matched(F.col("_h"), G.BATCH_PATTERN)).drop("_h")
-    wanted = F.when(F.col("fits") & F.col("deep_iteration"), F.slice("_body", F.lit(1), F.col("count"))).otherwise(F.array().cast("array<string>"))
+    b = b.withColumn("fits", G.matched(F.col("_h"), G.BATCH_PATTERN)).withColumn("bad_number", F.when(F.col("fits"), G.bad_number(F.col("_h"), G.BATCH))).drop("_h")
+    due = F.coalesce("count", F.size("_body"))
+    wanted = F.when(F.col("fits") & F.col("deep_iteration"), F.slice("_body", F.lit(1), due)).otherwise(F.array().cast("array<string>"))
     control, state = F.col("is_control"), ~F.col("is_control") & (F.col("segment_type") == TRANSACTION_STATE)
     # each line is matched once: its groups are an array before the fields are picked
     groups = F.transform(wanted, lambda x: _parsed(x, control, state))
     groups = F.transform(groups, lambda p: F.struct(p.alias("p"), F.when(state, G.fields(F.get(p, F.lit(8)), G.STATE_PAYLOAD)).alias("c")))
-    b = b.withColumn("messages", F.transform(groups, lambda g, i: _message(g["p"], g["c"], F.col("line") + i + 1, control, state))).withColumn("n_body", F.size("_body"))
-    whole = F.col("fits") & (~F.col("deep_iteration") | (F.col("n_body") >= F.col("count")))
-    columns = ["file_ord", "file_name", "line", *[n for _, n, _, _ in G.BATCH], "messages", "segment_type", "deep_iteration"]
-    return Segments(f, b, b.where(whole).select(*columns))
+    b = b.withColumn("messages", F.transform(groups, lambda g, i: _message(g["p"], g["c"], i + 1, control, state))).withColumn("n_body", F.size("_body"))
+    return Segments(f, b.withColumn("whole", F.col("fits") & (~F.col("deep_iteration") | (F.col("n_body") >= due))).drop("_body"), Lines(rows))
 
 
 def read_segments(spark: SparkSession, paths: Iterable[str]) -> Segments:
     """Segments of dump files."""
     files = ordered_files(spark, paths)
-    return assemble(scan(spark, files, "\n" + LEAD), files)
+    return assemble(scan(spark, files, "\n" + LEAD), peek(spark, files))
 
 
 def parse_segments(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> Segments:
     """Segments of (file name, text) in memory."""
-    texts = sorted(texts, key=lambda x: x[0])
-    files = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(texts)], "file_ord int, file_name string")
-    return assemble(pieces(spark, texts, "\n" + LEAD), files)
+    texts = list(texts)
+    return assemble(in_memory(spark, texts, "\n" + LEAD), facts_of(spark, texts))

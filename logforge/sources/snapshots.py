@@ -9,44 +9,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
-from .dumps import numbered, ordered_files, pieces, scan, split_totals, topic_columns
+from .dumps import PLACE, Lines, _first_line, facts_of, found_facts, in_memory, ordered_files, peek, scan, topic_columns
 
 
 @dataclass
 class Snapshots:
-    """``files``; ``states``: every row that parses; ``raw``: all numbered lines after the header, with whether they fit."""
+    """Dump files: ``files``, a row for each; ``pieces``, all lines with what they parse to; ``lines``, their numbers on demand.
+
+    ``placed`` are the states by their place in the file; ``states`` have line
+    numbers too, as has ``raw``: all lines after the header.
+    """
 
     files: DataFrame
-    raw: DataFrame
-    states: DataFrame
+    pieces: DataFrame
+    lines: Lines
+
+    @property
+    def placed(self) -> DataFrame:
+        return self.pieces.where("fits").select(*PLACE, "file_name", *[n for _, n, _, _ in G.SNAPSHOT])
+
+    @property
+    def states(self) -> DataFrame:
+        return self.lines.add(self.placed)
+
+    @property
+    def raw(self) -> DataFrame:
+        heads = F.broadcast(self.lines.edges().select("file_ord", "head"))
+        return self.lines.add(self.pieces).join(heads, "file_ord").where(F.struct("split", "place") != F.col("head")).drop("head")
 
 
-def assemble(records: DataFrame, files: DataFrame | None = None) -> Snapshots:
-    lines = numbered(records, split_totals(records, "producerId: "))
-    # each piece is a line; the piece after a final line end is no line
-    lines = lines.where(~(F.col("last") & ~F.col("first") & (F.array_join("lines", "") == ""))).withColumn("value", F.get("lines", F.lit(0)))
+def assemble(rows: DataFrame, facts: DataFrame | None = None) -> Snapshots:
+    """Snapshots of dump lines, with the facts of their files if these are known.  A number that its type cannot hold is null, and named in bad_number."""
+    f = facts if facts is not None else found_facts(rows)
     form = r"\ADumping (.*)\z"
-    path = F.when(F.col("value").rlike(form), F.regexp_extract("value", form, 1))
-    f = lines.where("first").select("file_ord", "file_name", path.alias("path"))
-    if files is not None:
-        f = files.select("file_ord", "file_name").join(f.drop("file_name"), "file_ord", "left")
+    f = f.select("file_ord", "file_name", F.when(F.col("lead").rlike(form), F.regexp_extract("lead", form, 1)).alias("path"), F.col("lead").isNull().alias("is_empty"))
     f = f.select("*", *topic_columns(F.col("path")))
-    p = lines.where(~F.col("first")).select("file_ord", "file_name", "line", "value", G.fields(F.col("value"), G.SNAPSHOT_PATTERN).alias("_p"))
+    p = rows.select(*PLACE, "file_name", "value", G.fields(F.col("value"), G.SNAPSHOT_PATTERN).alias("_p"))
     p = p.withColumn("fits", G.matched(F.col("_p"), G.SNAPSHOT_PATTERN))
     values = dict(zip([n for _, n, _, _ in G.SNAPSHOT], G.typed(F.col("_p"), G.SNAPSHOT), strict=True))
-    values["last_timestamp"] = F.coalesce(values["last_timestamp"], F.lit(0).cast("bigint"))
-    states = p.where("fits").select("file_ord", "file_name", "line", *[v.alias(n) for n, v in values.items()])
-    return Snapshots(f, p.select("file_ord", "file_name", "line", "value", "fits"), states)
+    values["last_timestamp"] = F.when(F.get("_p", F.lit(5)) == "", F.lit(0).cast("bigint")).otherwise(values["last_timestamp"])
+    bad = F.when(F.col("fits"), G.bad_number(F.col("_p"), G.SNAPSHOT))
+    return Snapshots(f, p.select(*PLACE, "file_name", "value", "fits", *[v.alias(n) for n, v in values.items()], bad.alias("bad_number")), Lines(rows))
 
 
 def read_snapshots(spark: SparkSession, paths: Iterable[str]) -> Snapshots:
     """Snapshots of dump files."""
     files = ordered_files(spark, paths)
-    return assemble(scan(spark, files, "\n"), files)
+    return assemble(scan(spark, files, "\n"), peek(spark, files, _first_line))
 
 
 def parse_snapshots(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> Snapshots:
     """Snapshots of (file name, text) in memory."""
-    texts = sorted(texts, key=lambda x: x[0])
-    files = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(texts)], "file_ord int, file_name string")
-    return assemble(pieces(spark, texts, "\n"), files)
+    texts = list(texts)
+    return assemble(in_memory(spark, texts, "\n"), facts_of(spark, texts, _first_line))

@@ -5,7 +5,7 @@ import pytest
 from logforge.plans import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "customer", "part")
+TABLES = ("events", "customer", "part", "nation")
 
 
 @pytest.fixture(scope="module")

@@ -91,7 +91,7 @@ def test_record_errors(spark):
 def test_truncated_and_empty_batches(spark):
     s = parse_segments(spark, [("a", dump(batch(0, 0), batch(0), data(0), batch(1, 2), data(1)))])
     assert rows(s.batches.orderBy("line"), "line", "count") == [(3, 0), (4, 1)] and found(s) == []
-    assert rows(checks.lint_truncated(s.raw), "line") == [(6,)]
+    assert rows(checks.lint_truncated(s), "line") == [(6,)]
 
 
 def test_headers(spark):
@@ -196,5 +196,63 @@ def test_long_duration(spark):
 def test_lints(spark):
     s = parse_segments(spark, [("a", dump(batch(0, leader=5, position=10), data(0), batch(0, leader=4, position=10), data(0)))])
     assert [rows(f(s.batches), "line") for f in (checks.lint_position, checks.lint_leader_epoch, checks.lint_offsets)] == [[(5,)]] * 3
-    assert rows(T.first_last(s.batches), "first_batch.line", "last_batch.line") == [(3, 5)]
+    assert sorted(rows(T.first_last(s.batches.drop("line"), s.lines), "which", "line")) == [("first", 3), ("last", 5)]
+    for lint in (checks.lint_position, checks.lint_leader_epoch, checks.lint_offsets):
+        assert rows(lint(s.placed, s.lines), "line", "message") == rows(lint(s.batches), "line", "message")
     assert checks.transactional_violations(s.batches, False).count() == 2
+
+
+def test_large_numbers_are_violations(spark):
+    large = batch(0, pid=10**20), data(0), batch(1).replace("count: 1", "count: 99999999999"), data(1), batch(2), data(10**20)
+    s = parse_segments(spark, [("a", dump(*large))])
+    want = [(3, "number", f'For input string: "{10**20}"'), (5, "number", 'For input string: "99999999999"'), (8, "number", f'For input string: "{10**20}"')]
+    assert found(s) == want
+    assert rows(s.batches.orderBy("line"), "line", "producer_id", "count", F.size("messages")) == [(3, None, 1, 1), (5, 7, None, 1), (7, 7, 1, 1)]
+    with pytest.raises(ValueError, match="a:3: For input"):
+        commands.txn_stat(s)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_move_no_text(spark, tmp_path):
+    for name, text in random_log(3)[0]:
+        (tmp_path / name).write_text(text)
+    s = read_segments(spark, [str(tmp_path)])
+    plan = plan_of(filters.filter_batches(s.placed, pid=2))
+    assert plan.count("FileScan text") == 1 and "hashpartitioning" not in plan
+    numbers = plan_of(s.lines.numbers())
+    assert not [x for x in numbers.split("\n") if "Exchange" in x and "value" in x]
+    # adaptive plans share exchanges as they run, so scans are counted without those below an exchange that is met again
+    checked = checks.violations(s)
+    checked.collect()
+    final = plan_of(checked).split("== Initial Plan ==")[0]
+    assert final.count("FileScan text") <= 3
+
+
+def test_sessions_and_lints_over_many_splits(spark, tmp_path):
+    texts, expected = random_log(5, files=1, batches=150)
+    (tmp_path / texts[0][0]).write_text(texts[0][1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        s = read_segments(spark, [str(tmp_path)])
+        assert s.lines.splits().count() > 10
+        got = rows(T.transactions(s.placed), "producer_id", "producer_epoch", "status", "n_data", "duration_ms")
+        assert sorted(got, key=repr) == expected
+        assert checks.lint_offsets(s.placed, s.lines).count() == 0
+        assert checks.lint_position(s.placed, s.lines).count() == s.placed.count() - 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_deep_dump_that_begins_with_empty_batches(spark, tmp_path):
+    lines = [batch(i, 0) for i in range(200)] + [batch(200, 2), data(200), data(201)]
+    (tmp_path / "a").write_text(dump(*lines))
+    s = read_segments(spark, [str(tmp_path)])
+    assert s.files.first()["deep_iteration"] and s.batches.agg(F.sum(F.size("messages"))).first()[0] == 2 and found(s) == []
+
+
+def test_unknown_path(spark):
+    s = parse_segments(spark, [("a", dump(batch(0), data(0), path="00000000000000000000.log"))])
+    assert rows(checks.lint_unknown_path(s.files), "file_name") == [("a",)] and found(s) == []
