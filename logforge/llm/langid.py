@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .storage import ship
+from .storage import folder, save, ship
 
 N = 5
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -138,24 +138,21 @@ def train(docs: DataFrame, fold_: int = 4, held: int = 2, most_texts: int = 4000
     """Filters from ``docs(doc_id, text, lang)``; None without a labelled text.
 
     Only rows with crc32(doc_id as text) mod ``fold_`` other than ``held`` and a lang
-    take part; ``most_texts`` bounds the texts of each language, in hash order.
+    take part; of a language with more than ``most_texts`` of them that share is taken, by a hash of doc_id.
     A filter holds the n-grams in ``least_share`` or more of its language's texts.
     Every language with a labelled text gets a filter.
     """
     ship(docs.sparkSession)
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold_ != held))
-    sizes = known.groupBy("lang").count().collect()
+    in_fold = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold_ != held)
+    sizes = docs.where(in_fold).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()  # a row for each language
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
-    ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    large = sorted(r["lang"] for r in sizes if r["count"] > most_texts)
-    chosen = ids.where(~F.col("lang").isin(large)) if len(large) < len(languages) else None
-    for name in large:
-        part = ids.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_texts)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = F.broadcast(chosen.distinct().select("doc_id", F.col("lang").alias("of")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").join(chosen, "doc_id").where("lang = of").select("lang", "text")
+    # a text takes part if its hash is below its language's share
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most_texts / r["count"])) for r in sizes], "of string, share double")
+    rows = docs.where(in_fold & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(place < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,8 +166,8 @@ def train(docs: DataFrame, fold_: int = 4, held: int = 2, most_texts: int = 4000
                     yield pa.RecordBatch.from_arrays([pa.array([name] * (len(mine) + 1)), pa.array(np.append(mine.astype(np.int64), -1)), pa.array(np.append(seen, texts).astype(np.int64))], ["lang", "gram", "texts"])
 
     counted = rows.mapInArrow(count, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
-    number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = F.broadcast(docs.sparkSession.createDataFrame([(name, float(max(1, least_share * n))) for name, n in number.items()], "lang string, least double"))
+    counted = save(counted, folder(docs.sparkSession), "grams")
+    least = F.broadcast(counted.where("gram = -1").select("lang", F.greatest(F.lit(1.0), F.lit(least_share) * F.col("texts")).alias("least")))
     table = counted.where("gram >= 0").join(least, "lang").where("texts >= least").select("lang", "gram").toArrow()
     of, all_grams = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy(), table.column("gram").to_numpy().astype(np.uint64)
     top = max(sizes, key=lambda r: (r["count"], r["lang"]))["lang"]
@@ -184,8 +181,9 @@ def identify(docs: DataFrame, fold_: int = 4, held: int = 2, **settings) -> Data
     doc_id: false), lang_pred and score (0 to 1, the share of n-grams that the
     language explains).  A null text, or one without a letter, is ``und`` with
     score 0, as is every text if no row has a lang; letters of which
-    no filter holds an n-gram give the most frequent language with score 0.  Other columns are ignored; an
-    empty table gives an empty result.
+    no filter holds an n-gram give the most frequent language with score 0.  Of
+    languages with equal hits the first by code point is taken; texts of any length are read as a whole; repeated
+    rows are predicted alike.  Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     model = train(docs, fold_, held, **settings)
