@@ -1,12 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning of a sparse linear model.
 
-Training texts are the confirmed toxic documents and unlabelled documents, both
-bounded samples in hash order, one of each family of copies; the class prior is the toxic share of all labels
-of the training fold.  Features are the words present in a text, hashed to 64
-bits, that positive texts hold significantly more often than unlabelled ones.
-The risk is pi * R_p+ + max(0, R_u- - pi * R_p-), minimised by Adam; where the
-inner term falls below zero its gradient is turned round, so the model cannot fit
-the unlabelled texts below what the prior allows.
+Training texts are confirmed toxic documents, a bounded sample of the labelled
+rows in hash order with one of each family of copies, and all unlabelled
+documents of the training fold; the class prior is the toxic share of all labels
+of that fold.  Features are the words present in a text, hashed to 64 bits, that
+positive texts hold significantly more often than unlabelled ones do; words are counted on the
+executors over all texts.  The risk is pi * R_p+ + max(0, R_u- - pi * R_p-),
+minimised by Adam; where the inner term falls below zero its gradient is turned
+round, so the model cannot fit the unlabelled texts below what the prior allows.
+
+Unlabelled texts are dealt to shards of a fixed size by a hash of doc_id.  Each
+shard, a task of its own, fits all positive texts against its unlabelled ones, and the
+weights of the shards are averaged, so the fit covers all texts within bounded memory.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .storage import ship
+from .storage import folder, save, ship
 
 #: Letters in lower case, digits and bytes of non-ASCII characters make words; all else parts them.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -74,27 +79,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def select(positive: list[np.ndarray], unlabelled: np.ndarray, n_unlabelled: int, words: np.ndarray, lift: float) -> np.ndarray:
-    """Which of ``words`` the positive texts hold ``lift`` times as often as the unlabelled texts, and more often than chance explains.
+def select(positive: list[np.ndarray], other: np.ndarray, n_unlabelled: int, lift: float) -> np.ndarray:
+    """Which words the positive texts hold ``lift`` times as often as the unlabelled texts, and more often than chance explains.
 
-    The Chernoff bound of the Poisson tail must be below 1/3 over all words together.
+    ``other`` counts the unlabelled texts with each word.  The Chernoff bound of the
+    Poisson tail must be below 1/3 over all words together.
     """
-    c = np.bincount(np.concatenate(positive), minlength=len(words))
-    other = np.bincount(unlabelled, minlength=len(words))
+    c = np.bincount(np.concatenate(positive), minlength=len(other))
     scale = len(positive) / max(n_unlabelled, 1)
     expected = (other + np.sqrt(other) + 1) * scale
     tail = c * np.log(np.maximum(c, 1) / expected) - c + expected
-    return (c > expected) & (tail > np.log(3 * max(len(words), 1))) & (c > lift * (other + 0.5) * scale)
+    return (c > expected) & (tail > np.log(3 * max(len(other), 1))) & (c > lift * (other + 0.5) * scale)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, rounds: int = 300, rate: float = 0.1, l2: float = 1e-6) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a linear model by non-negative PU learning on texts given as sets of feature numbers."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, number: np.ndarray | None = None, rounds: int = 300, rate: float = 0.1, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a linear model by non-negative PU learning on texts given as sets of feature numbers; ``number`` counts the texts of each unlabelled set."""
+    number = np.ones(len(unlabelled)) if number is None else number
     groups: dict[bytes, list[float]] = {}
-    for k, sets in enumerate((positive, unlabelled)):
-        for s in sets:
-            groups.setdefault(np.asarray(s, np.int64).tobytes(), [0.0, 0.0])[k] += 1
-    sets = [np.frombuffer(g, np.int64) for g in groups]
-    p, u = (np.array(list(groups.values())) / [max(len(positive), 1), max(len(unlabelled), 1)]).T
+    for k, (sets, counts) in enumerate(((positive, np.ones(len(positive))), (unlabelled, number))):
+        for s, n in zip(sets, counts.tolist(), strict=True):
+            groups.setdefault(np.asarray(s, np.int64).tobytes(), [0.0, 0.0])[k] += n
+    keys = sorted(groups)
+    sets = [np.frombuffer(g, np.int64) for g in keys]
+    p, u = (np.array([groups[g] for g in keys]).reshape(-1, 2) / [max(len(positive), 1), max(number.sum(), 1)]).T
     column = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     n = len(sets)
@@ -115,71 +122,123 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, pr
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int = 8000, most_unlabelled: int = 40000, least_texts: int = 4) -> Model:
+def _packed(words: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The items of each row as one binary value."""
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * np.int32(words.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def _among(known: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's words those in ``known`` (ascending), as numbers."""
+    place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    hit = known[place] == words
+    return place[hit].astype(np.int32), np.bincount(np.repeat(np.arange(len(counts)), counts)[hit], minlength=len(counts))
+
+
+def _one_of_each(families: pa.Table) -> list[int]:
+    """Rows (by their key) that share no family key with one before, in the order of their keys."""
+    seen: set[int] = set()
+    out = []
+    for family, key in sorted(zip(families.column("family").to_pylist(), families.column("key").to_pylist(), strict=True)):
+        keys = [hash((i, k)) for i, k in enumerate(np.frombuffer(family, np.int64).tolist())]
+        if seen.isdisjoint(keys):
+            out.append(key)
+        seen.update(keys)
+    return sorted(set(out))
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int = 8000, shard_texts: int = 40000, least_texts: int = 4) -> Model:
     """Model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Only rows with crc32(doc_id as text) mod ``fold`` other than 0 take part.
-    ``most_positive`` and ``most_unlabelled`` bound the samples that the driver
-    fits on, taken in hash order.  Words that at least ``least_texts`` positive
-    texts hold are candidates; of the unlabelled texts only these are kept.
-    Without toxic labels the model scores every text near 0.
+    ``most_positive`` bounds the sample of labelled toxic rows, taken in hash order; unlabelled
+    rows all take part, about ``shard_texts`` in a shard.  Words that at least ``least_texts``
+    positive texts hold are candidates.  Without toxic labels the model scores every text near 0.
     """
     spark = docs.sparkSession
     ship(spark)
+    where = folder(spark)
     fit_fold = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != 0)
     known = labels.where(fit_fold & F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     key = F.col("doc_id").cast("long").alias("doc_id")
-    order = F.xxhash64("doc_id")
-    source = docs.select(key, F.col("text").cast("string").alias("text"))
-
-    def sampled(ids: DataFrame, most: int, known_words: np.ndarray | None) -> list[np.ndarray]:
-        """Word hashes, or numbers in ``known_words``, of the texts of the ``most`` first ids."""
-        rows = source.join(F.broadcast(ids.distinct().orderBy(order, "doc_id").limit(most)), "doc_id").select("text")
-
-        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in textbuf.slices(whole, "text"):
-                    words, counts = word_set(batch.column("text"))
-                    family = _families(words, counts)
-                    if known_words is not None:
-                        place = np.minimum(np.searchsorted(known_words, words), len(known_words) - 1)
-                        hit = known_words[place] == words
-                        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[hit], minlength=len(counts))
-                        words = place[hit].astype(np.int32)
-                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * np.int32(words.itemsize)
-                    packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words))])
-                    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(family.shape[1] * 8), len(counts), [None, pa.py_buffer(family)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([keys, packed], ["family", "words"])
-
-        got = rows.mapInArrow(features, "family binary, words binary").toArrow().sort_by([("family", "ascending"), ("words", "ascending")])
-        seen: set[int] = set()
-        out = []
-        for batch in got.to_batches(max_chunksize=1000):  # a thousand rows as Python objects at a time
-            for family, packed in zip(batch.column("family").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                keys = [hash((i, k)) for i, k in enumerate(np.frombuffer(family, np.int64).tolist())]
-                if seen.isdisjoint(keys):
-                    out.append(np.frombuffer(packed, np.uint64 if known_words is None else np.int32))
-                seen.update(keys)
-        return out
-
-    positive = sampled(known.where("toxic = 1").select(key), most_positive, None)
-    words, number = np.unique(np.concatenate(positive), return_counts=True) if positive else (np.zeros(0, np.uint64), np.zeros(0))
-    words = words[number >= least_texts]
+    source = docs.where(fit_fold).select(key, F.col("text").cast("string").alias("text"))
+    ids = known.where("toxic = 1").select(key).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive)
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in textbuf.slices(whole, "text"):
+                words, counts = word_set(batch.column("text"))
+                family = _families(words, counts)
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(family.shape[1] * 8), len(counts), [None, pa.py_buffer(family)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, _packed(words, counts)], ["family", "words"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("words").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed, np.int64))], ["word"])
+
+    positives = source.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(families, "family binary, words binary").withColumn("key", F.xxhash64("words"))
+    positives = save(positives, where, "positives")
+    kept = _one_of_each(positives.select("family", "key").toArrow())  # 72 bytes a text
+    chosen = positives.dropDuplicates(["key"]).where(F.col("key").isin(kept)).select("words")
+    counted = chosen.mapInArrow(listed, "word long").groupBy("word").count().where(F.col("count") >= least_texts)
+    words = np.sort(counted.select("word").toArrow().column("word").to_numpy().astype(np.uint64))
     if not len(words):
         return Model(words, np.zeros(0), -6.0)
-    unlabelled = sampled(docs.where(fit_fold).select(key), most_unlabelled, words)
-    numbered = [at[words[at] == s] for s in positive for at in [np.minimum(np.searchsorted(words, s), len(words) - 1)]]
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates = shared.value
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([_packed(*_among(candidates, np.concatenate(sets), np.array([len(s) for s in sets])))], ["words"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates = shared.value
+        total, texts = np.zeros(len(candidates), np.int64), 0
+        for whole in batches:
+            for batch in textbuf.slices(whole, "text"):
+                total += np.bincount(_among(candidates, *word_set(batch.column("text")))[0], minlength=len(candidates))
+                texts += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], texts))], ["word", "texts"])
+
+    shared = spark.sparkContext.broadcast(words)
+    numbered = [np.frombuffer(x, np.int32) for x in sorted(chosen.mapInArrow(numbers, "words binary").toArrow().column("words").to_pylist())]
+    table = source.select("text").mapInArrow(held, "word long, texts long").groupBy("word").agg(F.sum("texts").alias("texts")).toArrow()
+    at, texts = table.column("word").to_numpy(), table.column("texts").to_numpy()
+    other, n_unlabelled = np.zeros(len(words), np.int64), int(texts[at < 0].sum())
+    other[at[at >= 0]] = texts[at >= 0]
     prior = min(max(prior, 1e-4), 0.9)
-    chosen = select(numbered, np.concatenate(unlabelled), len(unlabelled), words, 0.4 / prior)
-    new = np.cumsum(chosen) - 1
-    slim = lambda sets: [new[s[chosen[s]]] for s in sets]
-    weights, bias = fit(slim(numbered), slim(unlabelled), int(chosen.sum()), prior)
-    return Model(words[chosen], weights, bias)
+    picked = select(numbered, other, n_unlabelled, 0.4 / prior)
+    new = np.cumsum(picked) - 1
+    positive = [new[s[picked[s]]] for s in numbered]
+    fixed = spark.sparkContext.broadcast((words[picked], positive))
+    width = int(picked.sum())
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = fixed.value[0]
+        for whole in batches:
+            for batch in textbuf.slices(whole, "text"):
+                items, counts = word_set(batch.column("text"))
+                items, counts = _among(known_words, items, counts) if len(known_words) else (np.zeros(0, np.int32), np.zeros(len(counts), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), _packed(items, counts)], ["shard", "words"])
+
+    def fit_shard(part: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.int32).astype(np.int64) for x in part.column("words").to_pylist()]
+        weights, bias = fit(fixed.value[1], sets, width, prior, part.column("count").to_numpy().astype(float))
+        return pa.table({"place": pa.array(np.arange(width + 1)), "weight": pa.array(np.append(weights, bias))})
+
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n_unlabelled // shard_texts))))
+    dealt = source.select(shard.alias("shard"), "text").mapInArrow(patterns, "shard long, words binary").groupBy("shard", "words").count()
+    fitted = dealt.groupBy("shard").applyInArrow(fit_shard, "place long, weight double").groupBy("place").agg(F.avg("weight").alias("weight")).toArrow().sort_by("place")
+    weights = fitted.column("weight").to_numpy()
+    return Model(words[picked], weights[:-1], float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; a null or empty text has the score of no words."""
+    """doc_id and score (0 to 1) of every row; a null or empty text has the score of no words, and texts of any length are read as a whole."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +254,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, **settings) -> D
 
     Returns doc_id, held_out (crc32(doc_id as text) mod ``fold`` is 0; null
     doc_id: false), score, predicted (1 if score >= 0.5).  Rows that share a
-    doc_id are scored apart.  Other columns are ignored; an empty table gives an
+    doc_id, and repeated rows, are scored each by its text; a null or empty text has the
+    score of no words; texts of any length are read as a whole.  Other columns are ignored; an empty table gives an
     empty result.
     """
     model = train(docs, labels, fold, **settings)
@@ -204,7 +264,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, **settings) -> D
 
 
 def reject(docs: DataFrame, labels: DataFrame, fold: int = 5, **settings) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null, empty, long and repeated texts are scored as in ``toxicity``, and a score of exactly 0.5 is toxic; an empty table stays empty.
+    """
     model = train(docs, labels, fold, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
