@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .storage import folder, save
 
-#: Hosts with rules are broadcast up to this many intervals (under 100 bytes each); beyond, the join shuffles.
-BROADCAST_INTERVALS = 200_000
+#: Hosts with their rules are broadcast up to this many bytes; beyond, the join shuffles.
+BROADCAST_BYTES = 20 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -53,7 +53,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     most specific active rule: longest domain, then longest prefix), listed_since.
 
     A null url has host '' and is not blocked; neither is a capture without a date.
-    Repeated captures are judged alike; other columns are ignored; an empty list
+    Repeated captures are judged alike; of rules that tie none is left, as a rule is its domain and
+    prefix; urls of any length are read as a whole; other columns are ignored; an empty list
     blocks nothing; empty captures give an empty result.
     """
     where = folder(captures.sparkSession)
@@ -63,7 +64,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hosts = c.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", F.explode(suffixes).alias("domain"))
     active = F.struct((-F.length("domain")).alias("a"), (-F.length("prefix")).alias("b"), "domain", "prefix", "since", "until")
     rules = save(hosts.join(intervals(entries), "domain").groupBy("host").agg(F.sort_array(F.collect_list(active)).alias("rules")), where, "rules").withColumnRenamed("host", "rule_host")
-    if (rules.agg(F.sum(F.size("rules"))).first()[0] or 0) <= BROADCAST_INTERVALS:
+    each = F.aggregate("rules", F.lit(0), lambda n, r: n + 64 + F.length(r["domain"]) + F.length(r["prefix"]))
+    if (rules.agg(F.sum(F.length("rule_host") + each)).first()[0] or 0) <= BROADCAST_BYTES:
         rules = F.broadcast(rules)
     path = path_of(F.col("url"))
     now = lambda r: (r["since"] <= F.col("fetched")) & (r["until"].isNull() | (F.col("fetched") < r["until"])) & F.startswith(F.col("path"), r["prefix"])

@@ -36,11 +36,11 @@ def test_equals_brute_force(spark):
     c = spark.createDataFrame([(*x, "z") for x in captures], "page_id long, url string, fetched date, rule string")
     e = spark.createDataFrame(entries, "domain string, prefix string, listed boolean, day date")
     for rows in (200_000, 0):
-        url_lists.BROADCAST_INTERVALS, before = rows, url_lists.BROADCAST_INTERVALS
+        url_lists.BROADCAST_BYTES, before = rows, url_lists.BROADCAST_BYTES
         try:
             got = sorted(((x["page_id"], x["blocked"], x["rule"]) for x in url_lists.judge(c, e).collect()), key=repr)
         finally:
-            url_lists.BROADCAST_INTERVALS = before
+            url_lists.BROADCAST_BYTES = before
         assert got == brute(captures, entries)
     assert url_lists.judge(c.where("page_id < 0"), e).count() == 0
     assert url_lists.judge(c, e.where("domain = 'none'")).where("blocked").count() == 0
