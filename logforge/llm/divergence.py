@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, in native DataFrame functions only.
 
 Every text gets the counts of a few base rules, a histogram of character classes
-and one of the common words of its language.  The sums of these histograms over
+and one of the common words of its language: four languages have a fixed list, any
+other (and none) has the words that its own rows use most.  The sums of these histograms over
 all documents of a language are its references.  A document whose Jensen-Shannon
 distance to its language's reference is too large is not kept; guards on length
 leave short texts, whose histograms are noise, to the base rules.
@@ -10,6 +11,7 @@ leave short texts, whose histograms are noise, to the base rules.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import folder, save
@@ -21,28 +23,45 @@ COMMON_WORDS = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"),
 }
-#: For other languages and for none: the first four words of each list.
-MIXED_WORDS = tuple(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words[:4]))[:16]
+#: Common words of every language.
+MOST_WORDS = 16
 
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.29, 300
 MAX_WORD_DISTANCE, MIN_WORDS = 0.275, 100
-#: Reference rows (one for each language) are broadcast up to this many.
+#: Reference rows and word lists (one for each language, under 2 KB with words of usual length) are broadcast up to this many.
 BROADCAST_LANGUAGES = 10_000
 _SPACE = r"\x20\x09-\x0D"
 
 
-def _words_of(lang: Column) -> Column:
-    as_array = lambda words: F.array(*[F.lit(w) for w in (words + ("",) * 16)[:16]])
-    out = as_array(MIXED_WORDS)
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
+
+
+def learned_words(docs: DataFrame) -> DataFrame:
+    """(of, learned): the most frequent words of every language without a fixed list, by count and then code point.
+
+    Words are counted with partial sums, and ranked within partial limits, so that no task sees all words of a language.
+    """
+    other = docs.select(F.col("lang").cast("string").alias("of"), F.col("text").cast("string").alias("text")).where(~F.coalesce(F.col("of").isin(list(COMMON_WORDS)), F.lit(False)) & F.col("text").isNotNull())
+    counts = other.select("of", F.explode(_split(F.col("text"))).alias("w")).groupBy("of", "w").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(W.partitionBy("of").orderBy(F.desc("n"), "w"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= MOST_WORDS)
+    return top.groupBy("of").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "w"))), lambda x: x["w"]).alias("learned"))
+
+
+def _words_of(lang: Column, learned: Column) -> Column:
+    padded = lambda words: F.concat(words, F.array_repeat(F.lit(""), F.lit(MOST_WORDS) - F.size(words)))
+    out = padded(F.coalesce(learned, F.array().cast("array<string>")))
     for code, words in COMMON_WORDS.items():
-        out = F.when(lang == code, as_array(words)).otherwise(out)
+        out = F.when(lang == code, F.array(*[F.lit(w) for w in words])).otherwise(out)
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms of each row of ``docs(doc_id, text, lang)``."""
-    every = sorted({w for words in (*COMMON_WORDS.values(), MIXED_WORDS) for w in words})
+def features(docs: DataFrame, learned: DataFrame) -> DataFrame:
+    """doc_id, lang, the base counts and the two histograms of each row of ``docs(doc_id, text, lang)``; ``learned`` as from ``learned_words``."""
+    fixed = sorted({w for words in COMMON_WORDS.values() for w in words})
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t0"), F.col("lang").cast("string").alias("lang"))
+    t = t.join(learned, F.col("lang").eqNullSafe(F.col("of")), "left")
     t = t.withColumn("t1", F.regexp_replace("t0", r"\p{Ll}+", ""))
     t = t.withColumn("t2", F.regexp_replace("t1", f"[{_SPACE}]+", ""))
     t = t.withColumn("t3", F.regexp_replace("t2", r"\p{Lu}+", ""))
@@ -52,7 +71,8 @@ def features(docs: DataFrame) -> DataFrame:
     t = t.select(
         "doc_id",
         "lang",
-        F.filter(F.split("t0", f"[{_SPACE}]+"), lambda w: w != "").alias("w"),
+        "learned",
+        _split(F.col("t0")).alias("w"),
         F.filter(F.split("t0", "\n"), lambda x: x.rlike(f"[^{_SPACE}]")).alias("lines"),
         (size[0] - size[1] + size[2]).alias("word_chars"),
         (F.length("t5") - F.length(F.regexp_replace("t5", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -64,9 +84,9 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") >= 5, h).otherwise(F.array().cast("array<bigint>")).alias("h"),
-        F.filter("w", lambda w: w.isin(every)).alias("c"),
-        _words_of(F.col("lang")).alias("list"),
-    ).drop("w", "lines")
+        F.when(F.col("learned").isNull(), F.filter("w", lambda w: w.isin(fixed))).otherwise(F.filter("w", lambda w: F.array_contains("learned", w))).alias("c"),
+        _words_of(F.col("lang"), F.col("learned")).alias("list"),
+    ).drop("w", "lines", "learned")
     pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     t = t.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs))
     twice = F.filter("s", lambda s, k: F.coalesce(s["x"] == F.get("s", k - 1)["x"], F.lit(False)) | F.coalesce(s["x"] == F.get("s", k + 1)["x"], F.lit(False)))
@@ -102,11 +122,14 @@ def judge(docs: DataFrame, max_class_distance: float = MAX_CLASS_DISTANCE, max_w
     A null text counts as empty: no words, so base_failed.  A null lang, as any
     language, is compared with the reference of its own rows.  A distance is null
     below its guard (``min_chars`` characters, ``min_words`` words), and then has no
-    say.  Repeated rows are judged alike.  Other columns are ignored; an empty
+    say; a distance at its limit keeps.  Texts of any length are read as a whole.  Repeated rows are judged alike.  Other columns are ignored; an empty
     table gives an empty result.
     """
     where = folder(docs.sparkSession)
-    known = save(_with_rest(features(docs)), where, "features")
+    learned = save(learned_words(docs), where, "words")
+    if learned.count() <= BROADCAST_LANGUAGES:
+        learned = F.broadcast(learned)
+    known = save(_with_rest(features(docs, learned)), where, "features")
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
     totals = known.groupBy("lang").agg(sums("classes", 6).alias("rc"), sums("common", 17).alias("rw"))
     plus = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)

@@ -77,18 +77,21 @@ QUERIES = {
     "op10_main_text": op10_main_text,
 }
 
-_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in (words + ("",) * 16)[:16]) + "]"
-_LISTS = "CASE lang " + " ".join(f"WHEN '{code}' THEN {_LIST(words)}" for code, words in divergence.COMMON_WORDS.items()) + f" ELSE {_LIST(divergence.MIXED_WORDS)} END"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_FIXED = "(" + ", ".join(f"'{code}'" for code in divergence.COMMON_WORDS) + ")"
+_LISTS = "CASE a.lang " + " ".join(f"WHEN '{code}' THEN {_LIST(words)}" for code, words in divergence.COMMON_WORDS.items()) + " ELSE list_resize(coalesce(learned, []), 16, '') END"
 _TERM = "(CASE WHEN p > 0 THEN p * log2(p * 2.0 / (p + q)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(q * 2.0 / (p + q)) ELSE 0.0 END) / 2.0"
 
 ORACLE_SQL = {
     "op1_divergence": rf"""
 WITH a AS (
   SELECT doc_id, lang, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w FROM documents),
+o AS (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS rank FROM (SELECT lang, unnest(w) AS w FROM a WHERE lang IS NULL OR lang NOT IN {_FIXED}) GROUP BY lang, w),
+u AS (SELECT lang AS of, list(w ORDER BY rank) AS learned FROM o WHERE rank <= 16 GROUP BY lang),
 s AS (
   SELECT *, regexp_replace(x, '\p{{Ll}}+', '', 'g') AS x1, regexp_replace(x, '[\p{{Ll}}\x20\x09-\x0D]+', '', 'g') AS x2, regexp_replace(x, '[\p{{Ll}}\p{{Lu}}\x20\x09-\x0D]+', '', 'g') AS x3,
     regexp_replace(x, '[\p{{Ll}}\p{{Lu}}\p{{Nd}}\x20\x09-\x0D]+', '', 'g') AS x4, regexp_replace(x, '[\p{{Ll}}\p{{Lu}}\p{{Nd}}\x20\x09-\x0D.,;:?''"()\-]+', '', 'g') AS x5,
-    {_LISTS} AS words FROM a),
+    {_LISTS} AS words FROM a LEFT JOIN u ON a.lang IS NOT DISTINCT FROM u.of),
 f AS (
   SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
     len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))) AS n_dup_lines,

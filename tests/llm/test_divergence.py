@@ -1,10 +1,12 @@
+import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from logforge.llm import divergence
+from logforge.llm import divergence, queries
 
 
 def brute(t):
@@ -35,8 +37,6 @@ def test_brute_force_is_sane(texts):
 
 
 def test_random_texts(spark):
-    import random
-
     r = random.Random(1)
     texts = ["".join(r.choice("abc  \n#") for _ in range(r.randint(0, 200))) for _ in range(300)]
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
@@ -55,3 +55,32 @@ def test_divergent_texts_go(spark, sf):
 def test_odd_rows(odd, none):
     assert divergence.judge(odd).count() == odd.count()
     assert divergence.judge(none).count() == 0
+
+
+def test_words_of_other_languages_are_learned(spark):
+    r = random.Random(3)
+    usual = [f"u{k}" for k in range(40)]
+    words = lambda: [r.choice(usual[: 1 + int(40 * r.random() ** 2)]) if r.random() < 0.6 else f"r{r.randint(0, 5000)}" for _ in range(150)]
+    texts = [" ".join(words()) for _ in range(80)] + [" ".join(f"junk{r.randint(0, 9999)}" for _ in range(150))]
+    rows = [(i, t, lang) for lang, base in (("xx", 0), (None, 1000)) for i, t in enumerate(texts, base)] + [(5000, None, "yy"), (5001, "", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = Counter(w for t in texts for w in t.split())
+    top = sorted(count, key=lambda w: (-count[w], w))[:16]
+    assert {x["of"]: x["learned"] for x in divergence.learned_words(df).collect()} == {"xx": top, None: top}
+    got = {x["doc_id"]: x for x in divergence.judge(df).collect()}
+    assert len(got) == len(rows)
+    for base in (0, 1000):
+        assert not got[base + 80]["kept"] and got[base + 80]["word_distance"] > 0.4 > max(got[base + k]["word_distance"] for k in range(80))
+
+
+def test_equals_sql(spark, sf, tmp_path):
+    """The registered query on documents of other and no language, against its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "case when lang = 'es' then 'xx' when lang <> 'fr' then lang end as lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_divergence(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op1_divergence"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
