@@ -39,7 +39,7 @@ class _Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         n, first, seq = self.state.get() if self.state.exists() else (0, None, 0)
-        ordered = sorted(rows, key=lambda r: (r.file_ord, r.line))
+        ordered = sorted(rows, key=lambda r: (r.file_ord, r.split, r.place, r.nth))
         out, state = closed(tuple(key), ordered, n, first, seq)
         self.state.update((state[0], state[1] if state[1] is not None else 0, state[2]))
         for t in out:
@@ -50,9 +50,9 @@ class _Sessions(StatefulProcessor):
 
 
 def track(events: DataFrame) -> DataFrame:
-    """Closed transactions of a stream with file_ord, line, producer_id, producer_epoch, create_time, ctl and commit.
+    """Closed transactions of a stream with file_ord, split, place, nth, producer_id, producer_epoch, create_time, ctl and commit.
 
     Open transactions are state, not output.  The session needs ``STORE``.
     """
-    keyed = events.select("file_ord", "line", "producer_id", "producer_epoch", "create_time", "ctl", "commit").groupBy("producer_id", "producer_epoch")
+    keyed = events.select("file_ord", "split", "place", "nth", "producer_id", "producer_epoch", "create_time", "ctl", "commit").groupBy("producer_id", "producer_epoch")
     return keyed.transformWithState(statefulProcessor=_Sessions(), outputStructType=SCHEMA, outputMode="Append", timeMode="None")

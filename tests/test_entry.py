@@ -13,7 +13,7 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("logforge.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 print(len(e.queries()), len(e.oracle_sql()), any(k[2:3].isdigit() or k == "pipeline" for k in e.queries()))

@@ -10,7 +10,7 @@ from logforge.streaming import open_transactions
 def test_equals_batch(spark, tmp_path):
     texts, _ = random_log(8)
     s = parse_segments(spark, texts)
-    events = T.events(s.batches).select("file_ord", "line", "producer_id", "producer_epoch", "create_time", "ctl", "commit")
+    events = T.events(s.batches).select("file_ord", "split", "place", "nth", "producer_id", "producer_epoch", "create_time", "ctl", "commit")
     rows = events.orderBy("file_ord", "line").collect()
     for k in range(4):  # micro-batches in log order
         part = rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4]
