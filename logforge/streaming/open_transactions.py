@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "producer_id bigint, producer_epoch smallint, txn_seq bigint, status string, n_data bigint, duration_ms bigint"
@@ -19,31 +21,41 @@ STATE = "n_data bigint, first_time bigint, txn_seq bigint"
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def closed(key: tuple, rows: list, n: int, first: int | None, seq: int) -> tuple[list[tuple], tuple[int, int | None, int]]:
-    """Transactions that the rows of one session (in log order) close, and the state after them."""
-    out = []
-    for r in rows:
-        if r.ctl:
-            status = "EMPTY" if not n else "COMMITTED" if r.commit else "ABORTED"
-            out.append((*key, seq, status, n, r.create_time - first if n else None))
-            n, first, seq = 0, None, seq + 1
-        else:
-            first = r.create_time if not n else first
-            n += 1
-    return out, (n, first, seq)
+def closed(events: pd.DataFrame, n: int, first: int, seq: int) -> tuple[pd.DataFrame, tuple[int, int, int]]:
+    """Transactions that the events of one session (in log order) close, and the state after them.
+
+    ``n``, ``first`` and ``seq`` are the open transaction's data batches, the time of the first one, and its number.
+    """
+    ctl, time = events["ctl"].to_numpy(bool), events["create_time"].to_numpy(np.int64)
+    ends = np.flatnonzero(ctl)
+    before = np.append(-1, ends)  # the marker (or nothing) in front of each transaction, the open one at last
+    counts = np.append(ends, len(ctl)) - before - 1
+    counts[0] += n
+    at = np.minimum(before + 1, max(len(time) - 1, 0))
+    begun = time[at] if len(time) else np.zeros(1, np.int64)
+    if n:
+        begun[0] = first
+    done = counts[:-1]
+    status = np.where(done == 0, "EMPTY", np.where(events["commit"].to_numpy()[ends].astype(bool), "COMMITTED", "ABORTED"))
+    took = pd.array(time[ends] - begun[:-1], "Int64")
+    took[done == 0] = pd.NA
+    out = pd.DataFrame({"txn_seq": seq + np.arange(len(ends)), "status": status, "n_data": done, "duration_ms": took})
+    return out, (int(counts[-1]), int(begun[-1]), seq + len(ends))
 
 
 class _Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        n, first, seq = self.state.get() if self.state.exists() else (0, None, 0)
-        ordered = sorted(rows, key=lambda r: (r.file_ord, r.split, r.place, r.nth))
-        out, state = closed(tuple(key), ordered, n, first, seq)
-        self.state.update((state[0], state[1] if state[1] is not None else 0, state[2]))
-        for t in out:
-            yield Row(producer_id=t[0], producer_epoch=t[1], txn_seq=t[2], status=t[3], n_data=t[4], duration_ms=t[5])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, first, seq = self.state.get() if self.state.exists() else (0, 0, 0)
+        # a micro-batch's rows of one session, numbers alone
+        events = pd.concat(list(rows)).sort_values(["file_ord", "split", "place", "nth"], kind="stable")
+        out, state = closed(events, n, first, seq)
+        self.state.update(state)
+        out.insert(0, "producer_id", key[0])
+        out.insert(1, "producer_epoch", key[1])
+        yield out
 
     def close(self) -> None:
         pass
@@ -55,4 +67,4 @@ def track(events: DataFrame) -> DataFrame:
     Open transactions are state, not output.  The session needs ``STORE``.
     """
     keyed = events.select("file_ord", "split", "place", "nth", "producer_id", "producer_epoch", "create_time", "ctl", "commit").groupBy("producer_id", "producer_epoch")
-    return keyed.transformWithState(statefulProcessor=_Sessions(), outputStructType=SCHEMA, outputMode="Append", timeMode="None")
+    return keyed.transformWithStateInPandas(statefulProcessor=_Sessions(), outputStructType=SCHEMA, outputMode="Append", timeMode="None")

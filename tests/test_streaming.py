@@ -1,3 +1,6 @@
+import random
+
+import pandas as pd
 import pytest
 from dumptext import random_log
 from pyspark.sql import functions as F
@@ -29,3 +32,25 @@ def test_equals_batch(spark, tmp_path):
         spark.conf.unset(open_transactions.STORE[0])
     want = T.transactions(s.batches).where(F.col("status") != "OPEN").select("producer_id", "producer_epoch", "txn_seq", "status", "n_data", "duration_ms")
     assert got == sorted(map(tuple, want.collect()), key=repr) and got
+
+
+def plain(rows, n, first, seq):
+    out = []
+    for ctl, commit, time in rows:
+        if ctl:
+            out.append((seq, "EMPTY" if not n else "COMMITTED" if commit else "ABORTED", n, time - first if n else None))
+            n, seq = 0, seq + 1
+        else:
+            first, n = time if not n else first, n + 1
+    return out, (n, first, seq)
+
+
+def test_closing_equals_plain_loop():
+    r = random.Random(1)
+    for _ in range(500):
+        rows = [(ctl := r.random() < 0.4, r.random() < 0.5 if ctl else None, r.randint(0, 99)) for _ in range(r.randint(0, 7))]
+        start = r.choice([0, 0, 1, 3]), r.randint(0, 99), r.randint(0, 5)
+        got, state = open_transactions.closed(pd.DataFrame(rows, columns=["ctl", "commit", "create_time"]), *start)
+        want, after = plain(rows, *start)
+        assert [(*x[:3], None if pd.isna(x[3]) else int(x[3])) for x in got.itertuples(index=False)] == want
+        assert (state[0], state[2]) == (after[0], after[2]) and (not state[0] or state[1] == after[1])
