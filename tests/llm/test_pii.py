@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -125,3 +126,48 @@ def test_query_and_redaction(spark, odd, none):
 
 def test_overlapping_spans_mask_once():
     assert pii.redact_text("jоhn@example.com x", [(2, 0, 16), (0, 0, 16)]) == "[EMAIL] x"
+
+
+WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+
+
+def disguised(r):
+    """(text, kind, start, end) of a random identifier, written in a random disguise."""
+    spelled = lambda digits, share: " ".join(WORDS[int(d)] if r.random() < share else d for d in digits)
+    kind = r.choice(pii.KINDS)
+    if kind == "email":
+        dot = r.choice([" [dot] ", " (dot) ", " dot ", "[.]", " {punkt} ", " (PUNTO) "])
+        at = r.choice([" [at] ", "(at)", "[@]", " <arroba> ", *([" at ", " AT "] if dot != "[.]" else [])])
+        said = f"{r.choice(['john', 'x', 'a.b-c', 'm_9'])}{at}{r.choice(['firm', 'my-site', 'a1'])}{dot}{r.choice(['com', 'de', 'co.uk'])}"
+    elif kind == "ip":
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        k = r.randrange(4)
+        if r.random() < 0.5:
+            parts[k] = WORDS[r.randint(1, 9)]
+        dots = [r.choice([" dot ", "[.]", ".", " (dot) "]) for _ in range(3)]
+        if all(p.isdigit() for p in parts) and set(dots) == {"."}:
+            dots[r.randrange(3)] = " dot "
+        said = "".join(x for pair in zip(parts, [*dots, ""], strict=True) for x in pair)
+    elif kind == "card":
+        digits = "4" + "".join(str(r.randint(0, 9)) for _ in range(14))
+        digits = next(digits + c for c in "0123456789" if luhn(digits + c))
+        at = r.randint(1, 12)
+        said = f"{digits[:at]} {WORDS[int(digits[at])]} {spelled(digits[at + 1 : at + 3], 0.5)} {digits[at + 3 :]}"
+    else:
+        digits = "".join(str(r.randint(0, 9)) for _ in range(r.randint(9, 13)))
+        said = f"{r.choice(['+', 'plus ', '+ '.strip()])}{r.randint(1, 9)} {spelled(digits, r.choice([0.2, 0.6, 1.0]))} {WORDS[r.randint(0, 9)]}"
+    glyphs = str.maketrans({"o": "о", "0": "０", "a": "а", "@": "＠"})
+    if kind == "email" and r.random() < 0.3 and "(at" not in said and "[at" not in said and "arroba" not in said and "dot" not in said and "punkt" not in said:
+        said = said.translate(glyphs)
+    lead = r.choice(["", "so: ", "é, ", "Naïve words; "])
+    return f"{lead}{said}{r.choice(['', ', ok', ' | 漢字', '; end'])}", kind, len(lead), len(lead) + len(said)
+
+
+def test_random_disguises_map_back():
+    r = random.Random(12)
+    for _ in range(1500):
+        text, kind, start, end = disguised(r)
+        added = pii.added_spans(text, pii.base_spans(text))
+        assert (start, pii.KINDS.index(kind), end) in added, (text, kind, [(text[a:b], k) for a, k, b in added])
+        masked = pii.redact_text(text, pii.base_spans(text) + added)
+        assert text[start:end] not in masked
