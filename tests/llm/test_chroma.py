@@ -143,3 +143,27 @@ def test_sonified_vectors(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, []), (4, [float("nan"), None])], "vec_id long, embedding array<float>")
     got = {r["id"]: len(r["audio"]) for r in chroma.sonify(df).collect()}
     assert got[1] == 44 + 64 * 256 and got[2] == got[3] == 44
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chroma, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(11)
+    songs = [r.integers(0, 1 << 32, 120).astype(np.uint32) for _ in range(6)]
+    sets = {}
+    for k in range(40):
+        a = int(r.integers(0, 80))
+        part = songs[k % 6][a : a + 40].copy()
+        part[r.integers(0, len(part), 6)] ^= np.uint32(1) << r.integers(0, 32, 6).astype(np.uint32)
+        sets[25 * k + 1 if k % 2 else 100 * k] = part
+    sets |= {5000: sets[0], 5001: sets[0], 900: np.zeros(0, np.uint32)}
+    df = spark.createDataFrame([(i, c.astype("<u4").tobytes()) for i, c in sets.items()], "id long, codes binary").repartition(4)
+    got = {(x["id"], x["match_class"]): (x["offset"], x["hits"], x["overlap"], round(x["bit_error"], 9)) for x in chroma.search(df).collect() if x["match_class"] is not None}
+    reps = {i: min(j for j in sets if np.array_equal(sets[j], c)) for i, c in sets.items() if len(c)}
+    want = {}
+    for q in {reps[i] for i in reps if i % 100 == 0}:
+        for o in set(reps.values()):
+            tests = [(e, f, h, n) for f, h in votes(sets[q], sets[o]).items() if h >= 3 for n, e in [chroma.align(sets[q], sets[o], f)] if n >= 16 and e <= 0.2]
+            if tests:
+                e, f, h, n = min(tests)
+                want[q, o] = (f, h, n, round(e, 9))
+    assert got == want and len(want) > len(set(reps.values())) // 2
