@@ -147,13 +147,13 @@ def _one_of_each(families: pa.Table) -> list[int]:
     return sorted(set(out))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int = 8000, shard_texts: int = 40000, least_texts: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int = 8000, shard_texts: int = 40000, least_texts: int = 4, least_share: float = 0.005) -> Model:
     """Model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Only rows with crc32(doc_id as text) mod ``fold`` other than 0 take part.
     ``most_positive`` bounds the sample of labelled toxic rows, taken in hash order; unlabelled
     rows all take part, about ``shard_texts`` in a shard.  Words that at least ``least_texts``
-    positive texts hold are candidates.  Without toxic labels the model scores every text near 0.
+    positive texts hold, and ``least_share`` of them, are candidates: about as many whatever the size of the sample.  Without toxic labels the model scores every text near 0.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, most_positive: int
     positives = save(positives, where, "positives")
     kept = _one_of_each(positives.select("family", "key").toArrow())  # 72 bytes a text
     chosen = positives.dropDuplicates(["key"]).where(F.col("key").isin(kept)).select("words")
-    counted = chosen.mapInArrow(listed, "word long").groupBy("word").count().where(F.col("count") >= least_texts)
+    counted = chosen.mapInArrow(listed, "word long").groupBy("word").count().where(F.col("count") >= max(least_texts, least_share * len(kept)))
     words = np.sort(counted.select("word").toArrow().column("word").to_numpy().astype(np.uint64))
     if not len(words):
         return Model(words, np.zeros(0), -6.0)
