@@ -110,6 +110,55 @@ def abort_lines(states: DataFrame, only_open: bool = False) -> DataFrame:
 INFO = ("SegmentInfo[openTransactions={", "}, firstBatch=", ", lastBatch=", ", emptyTransactions=[", "], committed=", ", aborted=", ", txnSizeStats=", ", txnDurationStats=", "]")
 
 
+#: A row holds a text of so many bytes at most.
+MOST_TEXT = 2_147_483_600
+
+
+def one_text(texts: DataFrame, name: str, most: int = MOST_TEXT) -> DataFrame:
+    """One row: ``texts(part, a, b, text)`` in order of part, a and b (nulls first) as one text, with a comma between texts of one part.
+
+    Spark copies a value wherever it collects, joins or projects it.  Here the texts go through files of the one
+    task that joins them, and Arrow hands over the last file, so that the heap holds nothing but the row itself.
+    """
+
+    def join(batches):
+        import mmap
+        import os
+        import tempfile
+
+        import numpy as np
+        import pyarrow as pa
+
+        where = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+        with tempfile.TemporaryFile(dir=where) as found, tempfile.TemporaryFile(dir=where) as joined:
+            keys, sizes = [], []
+            for batch in batches:
+                # as in an ascending order, a null comes before any number
+                columns = [batch.column(c) for c in ("b", "a", "part")]
+                keys.append(np.stack([x for c in columns for x in (c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))]))
+                listed = batch.column("text").cast(pa.binary()).to_pylist()
+                sizes.append(np.array([len(x) for x in listed], np.int64))
+                found.writelines(listed)
+            found.flush()
+            keys, sizes = np.concatenate(keys, axis=1), np.concatenate(sizes)
+            parts, starts = keys[-2], np.cumsum(sizes) - sizes
+            total = int(sizes.sum()) + 2 * (len(parts) - len(np.unique(parts)))
+            if total > most:
+                raise ValueError(f"One text of {total} bytes is more than the {most} that a row holds; the report gives the same as lines")
+            last = None
+            with mmap.mmap(found.fileno(), 0, access=mmap.ACCESS_READ) as source:
+                for i in np.lexsort(keys):
+                    joined.write(b", " if parts[i] == last else b"")
+                    joined.write(source[starts[i] : starts[i] + sizes[i]])
+                    last = parts[i]
+            joined.flush()
+            whole = pa.py_buffer(mmap.mmap(joined.fileno(), 0, access=mmap.ACCESS_READ))
+            yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, total], np.int32)), whole)], [name])
+
+    rows = texts.select(*[F.col(c).cast("bigint").alias(c) for c in ("part", "a", "b")], "text").where("text is not null")
+    return rows.repartition(1).mapInArrow(join, f"{name} string")
+
+
 def info_text(rest: DataFrame, totals: DataFrame, ends: DataFrame) -> DataFrame:
     """The whole result as one text, info_out: of the located empty and open transactions, the totals, and the first and last batch.
 
@@ -120,13 +169,15 @@ def info_text(rest: DataFrame, totals: DataFrame, ends: DataFrame) -> DataFrame:
     empty = F.concat(F.lit("EmptyTransaction[closingBatch="), batch_text(_of("closing_batch")), F.lit(", controlMessage="), control_text(F.col("marker")), F.lit("]"))
     session = F.format_string("ProducerSession[producerId=%d, producerEpoch=%d]=", "producer_id", "producer_epoch")
     open_ = F.concat(session, F.lit("FirstBatchInTxn[firstBatchInTxn="), batch_text(_of("first_batch")), F.format_string(", numDataBatches=%d]", "n_data"))
-    listed = lambda test, text, *order: F.sort_array(F.collect_list(F.when(test, F.struct(*order, text.alias("text")))))
-    lists = rest.agg(listed(is_empty, empty, "file_ord", "line").alias("empty"), listed(~is_empty, open_, "producer_id", "producer_epoch").alias("open"))
-    texts = lambda name: F.array_join(F.transform(name, lambda x: x["text"]), ", ")
+    pick = lambda a, b: F.when(is_empty, a).otherwise(b)
+    listed = rest.select(pick(F.lit(3), F.lit(1)).alias("part"), pick(F.col("file_ord"), F.col("producer_id")).alias("a"), pick(F.col("line"), F.col("producer_epoch")).alias("b"), pick(empty, open_).alias("text"))
     batch = lambda which: F.coalesce(F.max(F.when(F.col("which") == which, batch_text())), F.lit("null")).alias(which)
-    parts = [texts("open"), "first", "last", texts("empty"), F.col("num_committed").cast("string"), F.col("num_aborted").cast("string"), stats("size"), stats("duration")]
-    out = [x for name, part in zip(INFO, parts, strict=False) for x in (F.lit(name), part)]
-    return totals.join(lists).join(ends.agg(batch("first"), batch("last"))).select(F.concat(*out, F.lit(INFO[-1])).alias("info_out"))
+    # the lists are parts 1 and 3, and what stands around them is 0, 2 and 4
+    closing = [F.col("num_committed").cast("string"), F.col("num_aborted").cast("string"), stats("size"), stats("duration")]
+    around = [F.lit(INFO[0]), F.concat(F.lit(INFO[1]), "first", F.lit(INFO[2]), "last", F.lit(INFO[3])), F.concat(*[x for name, part in zip(INFO[4:], closing, strict=False) for x in (F.lit(name), part)], F.lit(INFO[-1]))]
+    fixed = totals.join(ends.agg(batch("first"), batch("last"))).select(F.posexplode(F.array(*around)).alias("nth", "text"))
+    none = F.lit(None).cast("bigint")
+    return one_text(fixed.select((F.col("nth") * 2).alias("part"), none.alias("a"), none.alias("b"), "text").unionByName(listed), "info_out")
 
 
 def _of(parent: str):
