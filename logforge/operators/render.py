@@ -133,6 +133,8 @@ def one_text(texts: DataFrame, name: str, most: int = MOST_TEXT) -> DataFrame:
         with tempfile.TemporaryFile(dir=where) as found, tempfile.TemporaryFile(dir=where) as joined:
             keys, sizes = [], []
             for batch in batches:
+                # here, as a filter in the plan would make each text twice
+                batch = batch.filter(batch.column("text").is_valid())
                 # as in an ascending order, a null comes before any number
                 columns = [batch.column(c) for c in ("b", "a", "part")]
                 keys.append(np.stack([x for c in columns for x in (c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))]))
@@ -155,7 +157,7 @@ def one_text(texts: DataFrame, name: str, most: int = MOST_TEXT) -> DataFrame:
             whole = pa.py_buffer(mmap.mmap(joined.fileno(), 0, access=mmap.ACCESS_READ))
             yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, total], np.int32)), whole)], [name])
 
-    rows = texts.select(*[F.col(c).cast("bigint").alias(c) for c in ("part", "a", "b")], "text").where("text is not null")
+    rows = texts.select(*[F.col(c).cast("bigint").alias(c) for c in ("part", "a", "b")], "text")
     return rows.repartition(1).mapInArrow(join, f"{name} string")
 
 
@@ -173,11 +175,11 @@ def info_text(rest: DataFrame, totals: DataFrame, ends: DataFrame) -> DataFrame:
     listed = rest.select(pick(F.lit(3), F.lit(1)).alias("part"), pick(F.col("file_ord"), F.col("producer_id")).alias("a"), pick(F.col("line"), F.col("producer_epoch")).alias("b"), pick(empty, open_).alias("text"))
     batch = lambda which: F.coalesce(F.max(F.when(F.col("which") == which, batch_text())), F.lit("null")).alias(which)
     # the lists are parts 1 and 3, and what stands around them is 0, 2 and 4
-    closing = [F.col("num_committed").cast("string"), F.col("num_aborted").cast("string"), stats("size"), stats("duration")]
-    around = [F.lit(INFO[0]), F.concat(F.lit(INFO[1]), "first", F.lit(INFO[2]), "last", F.lit(INFO[3])), F.concat(*[x for name, part in zip(INFO[4:], closing, strict=False) for x in (F.lit(name), part)], F.lit(INFO[-1]))]
-    fixed = totals.join(ends.agg(batch("first"), batch("last"))).select(F.posexplode(F.array(*around)).alias("nth", "text"))
-    none = F.lit(None).cast("bigint")
-    return one_text(fixed.select((F.col("nth") * 2).alias("part"), none.alias("a"), none.alias("b"), "text").unionByName(listed), "info_out")
+    part = lambda k, *text: F.struct(F.lit(k).alias("part"), F.concat(*text).alias("text"))
+    before = ends.agg(batch("first"), batch("last")).select(F.inline(F.array(part(0, F.lit(INFO[0])), part(2, F.lit(INFO[1]), "first", F.lit(INFO[2]), "last", F.lit(INFO[3])))))
+    counts = [F.col("num_committed").cast("string"), F.col("num_aborted").cast("string"), stats("size"), stats("duration")]
+    after = totals.select(F.lit(4).alias("part"), F.concat(*[x for name, value in zip(INFO[4:], counts, strict=False) for x in (F.lit(name), value)], F.lit(INFO[-1])).alias("text"))
+    return one_text(listed.unionByName(before.unionByName(after), allowMissingColumns=True), "info_out")
 
 
 def _of(parent: str):
